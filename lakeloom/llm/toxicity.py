@@ -30,26 +30,28 @@ from lakeloom.llm.common import cut, held_out, texts
 SIZES = (3, 4, 5, 6)
 BITS = 20
 MOST_PER_CLASS = 3000
-FEATURES = 1 << 15
+FEATURES = 1 << 13
 THRESHOLD = 0.3
 ADDED = {"score": T.DoubleType(), "predicted": T.IntegerType()}
 
 
-def features(text: str, bits: int = BITS) -> np.ndarray:
-    """The distinct hashed n-grams of a text."""
+def hashes(text: str, bits: int = BITS) -> np.ndarray:
+    """The hashed n-grams of a text, repeats included."""
     chars = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    h, found = chars.copy(), []
+    h, found = chars.copy(), [np.zeros(0, np.uint32)]
     for n in range(2, SIZES[-1] + 1):
         if len(chars) < n:
             break
         h = h[: len(chars) - n + 1] * np.uint32(0x01000193) ^ chars[n - 1 :] * np.uint32(0x85EBCA6B)
         if n in SIZES:
             found.append((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits))
-    if not found:
-        return np.zeros(0, np.uint32)
-    seen = np.zeros(1 << bits, bool)
-    seen[np.concatenate(found)] = True
-    return np.flatnonzero(seen).astype(np.uint32)
+    return np.concatenate(found)
+
+
+def features(text: str, chosen: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of a text for which ``chosen`` (by hash) holds."""
+    found = hashes(text)
+    return np.unique(found[chosen[found]])
 
 
 @dataclass
@@ -59,25 +61,94 @@ class Model:
     weights: np.ndarray
     intercept: float
 
+    def __post_init__(self):
+        self.chosen = self.weights != 0
+
     def score(self, text: str) -> float:
-        z = self.intercept + float(self.weights[features(text)].sum(dtype=np.float64))
+        if np.isinf(self.intercept):
+            return float(self.intercept > 0)
+        z = self.intercept + float(self.weights[features(text, self.chosen)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression over present features times their ratio, by accelerated gradient descent."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, l2: float, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression over present features times their ratio, by accelerated gradient descent.
+
+    ``rows`` hold each document's places in ``ratio``. Returns weights (times
+    the ratios) and the intercept.
+    """
+    flat = np.concatenate(rows).astype(np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    scale = ratio[flat]
-    norm = np.bincount(doc, scale**2, len(rows))
-    rate = len(rows) / (0.25 * (norm.mean() * 4 + 1) * len(rows) / 4 + l2)
-    w = v = np.zeros(len(ratio))
+    scale, n, k = ratio[flat], len(rows), len(ratio)
+    times = lambda w: np.bincount(doc, scale * w[flat], n)
+    back = lambda g: np.bincount(flat, scale * g[doc], k)
+    x = np.ones(k)
+    for _ in range(8):  # the largest singular value, for the step size
+        x /= np.linalg.norm(x) + 1e-12
+        x = back(times(x))
+    step = 1 / (0.25 * (np.linalg.norm(x) + n) + l2)
+    w = v = np.zeros(k)
     b = c = 0.0
-    for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, scale * v[flat], len(rows)) + c, -50, 50)))
-        g = (p - labels) / len(rows)
-        w2 = v - rate / len(rows) * (np.bincount(flat, scale * g[doc], len(ratio)) * len(rows) + l2 * v)
-        b2 = c - rate / len(rows) * g.sum() * len(rows)
-        m = k / (k + 3)
+    for t in range(steps):
+        g = 1 / (1 + np.exp(-np.clip(times(v) + c, -50, 50))) - labels
+        w2, b2 = v - step * (back(g) + l2 * v), c - step * g.sum()
+        m = t / (t + 3)
         v, c, w, b = w2 + m * (w2 - w), b2 + m * (b2 - b), w2, b2
     return w * ratio, b
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most_per_class: int = MOST_PER_CLASS, l2: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """Learns from ``labels`` (doc_id, target 0 or 1) outside the held-out fold."""
+    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    picked = None
+    for y in (0, 1):
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(most_per_class)
+        picked = part if picked is None else picked.unionByName(part)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sample = cut(rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    of = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(of) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), float("inf") if 1 in of else float("-inf"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int64)
+        every = np.ones(1 << BITS, bool)
+        for batch in batches:
+            for t, y in zip(texts(batch.column("text")), batch.column("y").to_pylist()):
+                seen[y, features(t, every)] += 1
+        f = np.flatnonzero(seen.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(seen[0, f]), pa.array(seen[1, f])], names=["f", "n0", "n1"])
+
+    counts = sample.mapInArrow(count, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    s0, s1 = (F.col("n0") + 1) / (of[0] + 2), (F.col("n1") + 1) / (of[1] + 2)
+    ratio = F.log(s1 / s0)
+    best = counts.where("n0 + n1 > 2").select("f", ratio.alias("r")).orderBy(F.abs((s1 - s0) * ratio).desc(), "f").limit(FEATURES).collect()
+    chosen, place = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int32)
+    ids = np.array([b["f"] for b in best], np.int64)
+    chosen[ids], place[ids] = True, np.arange(len(ids))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [place[features(t, chosen)] for t in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x.tobytes() for x in found], pa.binary())], names=["y", "x"])
+
+    got = sample.mapInArrow(reduce, "y int, x binary").collect()
+    weights, b = fit([np.frombuffer(r["x"], np.int32) for r in got], np.array([r["y"] for r in got], float), np.array([r["r"] for r in best]), l2)
+    full = np.zeros(1 << BITS, np.float32)
+    full[ids] = weights
+    return Model(full, b + np.log(share[1] / share[0]) - np.log(of[1] / of[0]))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows and columns of ``docs`` with score and predicted (1 from ``threshold`` on), replacing such columns."""
+    base = docs.drop(*ADDED)
+    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array([model.score(t) for t in texts(batch.column(text))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+
+    return base.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
