@@ -17,6 +17,7 @@ hash of their text; other columns are ignored; an empty table gives no file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -32,8 +33,8 @@ from lakeloom.llm.common import filesystem, new_dir, offsets, slices, texts
 
 MAGIC = b"LOOMIDS1"
 BLOCK_IDS = 1 << 16
-#: Distinct chunks of text whose ids a Python worker remembers.
-CACHE = 200_000
+#: Distinct pieces of text whose ids a Python worker remembers.
+CACHE = 500_000
 
 
 def bits_for(largest: int) -> int:
@@ -143,11 +144,22 @@ class Reader:
 _encoders: dict = {}
 
 
-class Encoder:
-    """Encodes texts with the tokenizers library, each distinct chunk once.
+#: Letters that no normalisation but lower-casing changes, one to one.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: Chunks of these characters alone split into pieces as the tokenizer splits them.
+_simple = re.compile(f"[\\x20-\\x26\\x28-\\x7eA-Z\u00c0-\u00d6\u00d8-\u00de{_LETTERS}\\t\\n\\r]*")
+_piece = re.compile(f"[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+
 
-    Its words never span a space or a line feed, so a text's ids are those of
-    its chunks between them; chunks recur far more often than texts.
+class Encoder:
+    """Encodes texts with the tokenizers library, each distinct piece once.
+
+    The vocabulary's words never span white space, a digit or the border between
+    letters and other characters, so a text's ids are those of its pieces, which
+    recur far more often than texts. Pieces seen for the first time are encoded
+    together; the last id of each is one of a word's end. Characters with any
+    normalisation beyond lower case, and apostrophes, leave the chunk between two
+    spaces or line feeds whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -157,6 +169,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     @staticmethod
     def of(vocabulary: str) -> Encoder:
@@ -164,18 +179,44 @@ class Encoder:
             _encoders[vocabulary] = Encoder(vocabulary)
         return _encoders[vocabulary]
 
+    @staticmethod
+    def pieces(text: str) -> tuple[list[str], set[str]]:
+        """The pieces of a text in order, and those of them that are whole chunks."""
+        if _simple.fullmatch(text):
+            return _piece.findall(text.lower()), set()
+        found, whole = [], set()
+        for chunk in text.replace("\n", " ").split(" "):
+            if _simple.fullmatch(chunk):
+                found += _piece.findall(chunk.lower())
+            else:
+                found.append(" " + chunk)  # a space tells it from a piece
+                whole.add(" " + chunk)
+        return found, whole
+
+    def _learn(self, new: list[str]) -> None:
+        texts = [" ".join(new[k : k + 1000]) for k in range(0, len(new), 1000)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            part, ids = new[1000 * k : 1000 * k + 1000], np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("this vocabulary doesn't mark the ends of words")
+            data, start = ids.tobytes(), 0
+            for p, stop in zip(part, stops.tolist()):
+                self.known[p] = data[4 * start : 4 * stop]
+                start = stop
+
     def encode(self, batch: list[str], end_id: int) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in batch]
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        end = struct.pack("<I", end_id)
-        return [np.frombuffer(b"".join([known[w] for w in words]) + end, "<u4") for words in split]
+        split = [self.pieces(t) for t in batch]
+        whole = set().union(*[w for _, w in split]) - self.known.keys()
+        new = set().union(*[p for p, _ in split]) - self.known.keys() - whole
+        self._learn(list(new))
+        order = list(whole)
+        for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
+        end, get = struct.pack("<I", end_id), self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, found)) + end, "<u4") for found, _ in split]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
