@@ -116,13 +116,15 @@ def _rounded(rows: DataFrame, name: str) -> DataFrame:
     return cut(dealt.mapInArrow(_round, rows.schema), name)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """All rows and columns of ``docs`` with size, source_size, target, copies and taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source", columns: list[str] | None = None) -> DataFrame:
+    """All rows of ``docs``, with ``columns`` (all if None), size, source_size, target, copies and taken.
 
-    ``copies`` is how often the mix repeats the document, ``taken`` its words times that.
+    ``copies`` is how often the mix repeats the document, ``taken`` its words times
+    that. Only the columns named, id and source are shuffled.
     """
     base = docs.drop(*ADDED)
-    sized = base.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+    kept = base.columns if columns is None else [c for c in columns if c not in ADDED]
+    sized = base.select(*dict.fromkeys([*kept, doc_id, source]), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     stats = cut(sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "sources")
     targets = cut(source_targets(stats, weights, most), "targets")
     of = targets.select(F.col("source").alias("__source"), F.col("rank").alias("__rank"), "source_size", "target", F.ceil(F.col("n_docs") / LEAF).alias("__leaves"))
@@ -156,4 +158,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     takes = takes.select("__rank", F.col("__home").alias("__leaf"), F.col("__p").alias("__take"))
     opened = dealt.where(~closed).join(takes, ["__rank", "__leaf"]).withColumn("__p", F.col("__take")).select(*dealt.columns)
     full = dealt.where(closed).unionByName(opened)
-    return full.withColumn("copies", F.col("copies") + F.col("__p").cast("long")).withColumn("taken", F.col("size") * F.col("copies")).select(*base.columns, *ADDED)
+    return full.withColumn("copies", F.col("copies") + F.col("__p").cast("long")).withColumn("taken", F.col("size") * F.col("copies")).select(*kept, *ADDED)

@@ -75,8 +75,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
