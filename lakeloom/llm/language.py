@@ -31,6 +31,8 @@ from lakeloom.llm.common import slices, texts
 
 BUCKETS = 1 << 16
 SWITCH = 10.0
+#: Bytes of text whose n-grams are in memory at a time.
+PART = 1 << 20
 #: Least share of a language's letters for a script to be one of its own.
 LEAST_SHARE = 0.01
 UNKNOWN = "und"
@@ -107,12 +109,17 @@ class Model:
     log_p: np.ndarray
     allowed: np.ndarray
 
-    def label(self, w: Words, n_docs: int, switch: float = SWITCH) -> np.ndarray:
-        """The language number of each word: Viterbi over all documents in step."""
-        n, k = len(w.start), len(self.languages)
-        score = np.stack([np.bincount(w.word, self.log_p[w.gram, j], n) for j in range(k)], axis=1)
+    def scores(self, w: Words) -> np.ndarray:
+        """Of each word and language: the log-probability of the word's n-grams."""
+        n = len(w.start)
+        score = np.stack([np.bincount(w.word, self.log_p[w.gram, j], n) for j in range(len(self.languages))], axis=1).astype(np.float64)
         score[~self.allowed[w.script]] -= 1000.0
-        count = np.bincount(w.doc, minlength=n_docs)
+        return score
+
+    def label(self, score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SWITCH) -> np.ndarray:
+        """The language number of each word: Viterbi over all documents in step."""
+        n, k = score.shape
+        count = np.bincount(doc, minlength=n_docs)
         first = np.cumsum(count) - count
         order = np.argsort(-count, kind="stable")
         count, first = count[order], first[order]
@@ -143,7 +150,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PART):
                 langs, all_ = np.array(piece.column("lang").to_pylist()), np.array(texts(piece.column("text")), object)
                 for name in np.unique(langs):
                     w, _ = words(all_[langs == name].tolist())
@@ -179,18 +186,26 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
             for piece in slices(batch, text):
                 n = piece.num_rows
                 pred, score, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
-                w, begins = words(texts(piece.column(text)))
-                if model.languages and len(w.start):
-                    label = model.label(w, n, switch)
-                    letters = np.bincount(w.doc * len(model.languages) + label, w.end - w.start, n * len(model.languages)).reshape(n, -1)
+                start, end, doc, scored, at = [], [], [], [], 0
+                for part in slices(piece, text, PART) if model.languages else ():  # n-grams take much more room than words
+                    w, begins = words(texts(part.column(text)))
+                    start.append(w.start - begins[w.doc])
+                    end.append(w.end - begins[w.doc])
+                    doc.append(w.doc + at)
+                    scored.append(model.scores(w))
+                    at += part.num_rows
+                if sum(map(len, start)):
+                    first, after, of = map(np.concatenate, (start, end, doc))
+                    label = model.label(np.concatenate(scored), of, n, switch)
+                    letters = np.bincount(of * len(model.languages) + label, after - first, n * len(model.languages)).reshape(n, -1)
                     total = letters.sum(axis=1)
                     for d in np.flatnonzero(total):
                         pred[d] = model.languages[int(letters[d].argmax())]
                     score = np.divide(letters.max(axis=1), total, out=score, where=total > 0)
-                    new = np.flatnonzero(np.concatenate([[True], (w.doc[1:] != w.doc[:-1]) | (label[1:] != label[:-1])]))
+                    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (label[1:] != label[:-1])]))
                     last = np.append(new[1:], len(label)) - 1
-                    for d, a, b, l in zip(w.doc[new].tolist(), (w.start[new] - begins[w.doc[new]]).tolist(), (w.end[last] - begins[w.doc[new]]).tolist(), label[new].tolist()):
-                        spans[d].append({"start": a, "end": b, "lang": model.languages[l]})
+                    for d, a, b, k in zip(of[new].tolist(), first[new].tolist(), after[last].tolist(), label[new].tolist()):
+                        spans[d].append({"start": a, "end": b, "lang": model.languages[k]})
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(spans, span)], names=[*piece.schema.names, *ADDED])
 
     return base.mapInArrow(run, schema)
