@@ -316,7 +316,7 @@ def test_language_labels_spans(spark, none):
     rows = [(i, text(k, 40), k, "a", 1) for i, k in enumerate(["xx", "yy", "zz"] * 40)]
     model = language.train(spark.createDataFrame([*rows, (500, "abc", None, "a", 1)], SCHEMA))
     assert model.languages == ["xx", "yy", "zz"]
-    first, second = text("xx", 30), text("yy", 20)
+    first, second = text("xx", 30), text("yy", 10)
     tests = [(0, f"{first}. {second}", None, None, 1), (1, text("zz", 5), None, None, 1), *EMPTY, (2, "123 ...", None, None, 1), (3, "漢字", None, None, 1), (4, text("yy", 20_000), None, None, 1), (4, "ka", None, None, 1)]
     got = language.identify(spark.createDataFrame(tests, SCHEMA).withColumn("score", F.lit("clash")), model).collect()
     by = {r.doc_id: r for r in got if r.doc_id != 4}
