@@ -48,7 +48,7 @@ def concat(*parts: Column) -> Column:
 
 def chr_(code: Column) -> Column:
     """The character of any code point."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
 def digest(x: Column, method: str) -> Column:

@@ -6,18 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.plans import operator_queries, sql_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     """Query functions by name."""
-    from lakeloom.plans import sql_queries
-
-    return dict(sql_queries.queries())
+    return sql_queries.queries() | operator_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:
     """Equivalent SQL by name, where there is one."""
-    from lakeloom.plans import sql_queries
-
-    return dict(sql_queries.oracles())
+    return sql_queries.oracles() | operator_queries.ORACLE

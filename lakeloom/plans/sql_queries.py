@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.plans import report_queries
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
@@ -252,10 +254,10 @@ def query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    texts = SQL | {name: spark for name, (spark, _) in PAIRS.items()}
+    texts = SQL | report_queries.SQL | {name: spark for name, (spark, _) in PAIRS.items()}
     return {name: query(sql.replace("TS'", "timestamp_ntz'").replace("sha256(p_name)", "sha2(p_name, 256)")) for name, sql in texts.items()}
 
 
 def oracles() -> dict[str, str]:
-    texts = SQL | {name: duck for name, (_, duck) in PAIRS.items() if duck}
+    texts = SQL | report_queries.SQL | {name: duck for name, (_, duck) in PAIRS.items() if duck}
     return {name: sql.replace("TS'", "TIMESTAMP '") for name, sql in texts.items()}
