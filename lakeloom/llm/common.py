@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the contracts define words: everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,6 +78,34 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
+def with_sums(df: DataFrame, order: Sequence[Column], amount: str, position: str, before: str) -> DataFrame:
+    """Adds each row's exact position in ``order`` and the sum of ``amount`` over all rows before it.
+
+    A range shuffle sorts, the tasks add up as they stream, and the partitions'
+    offsets are added back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        pid, n, total = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            each = batch.column(amount).to_numpy(zero_copy_only=False)
+            sums = total + np.cumsum(each) - each
+            at = np.arange(n, n + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([pid] * batch.num_rows, pa.int32()), pa.array(at), pa.array(sums, pa.int64())], names=[*batch.schema.names, "__pid", position, before])
+            n, total = n + batch.num_rows, total + int(each.sum())
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField(position, T.LongType()), T.StructField(before, T.LongType())])
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "sums")
+    of = parts.groupBy("__pid").agg(F.count("*").alias("n"), F.sum(amount).alias("s"))
+    rows = F.broadcast(offsets(of, "__pid", "n").withColumnRenamed("__before", "__rows"))
+    sums = F.broadcast(offsets(of, "__pid", "s").withColumnRenamed("__before", "__sums"))
+    found = parts.join(rows, "__pid").join(sums, "__pid")
+    return found.withColumn(position, F.col(position) + F.col("__rows")).withColumn(before, F.col(before) + F.col("__sums")).drop("__pid", "__rows", "__sums")
+
+
 def offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
     """For one row per partition or file: ``key`` and ``__before``, the sum of ``n`` before it.
 

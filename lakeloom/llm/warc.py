@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
 Records are range-sorted by page_id; each is a gzip member of its own. A record's
-file follows from the compressed bytes of all records before it, so files roll at
-``ROLL_BYTES`` whatever the partitions were, and reruns write the same bytes. WARC
+file follows from the compressed bytes of all records before it (a revisit's within
+a few), so files roll at about ``ROLL_BYTES`` whatever the partitions were, and
+reruns write the same bytes. WARC
 and HTTP headers, lengths and digests are made anew from url and payload. Of equal
 payloads of at least ``least`` bytes, the record with the smallest page_id is the
 response and the others are revisits without a body.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, filesystem, new_dir, slices, with_rank
+from lakeloom.llm.common import cut, filesystem, new_dir, slices, with_sums
 
 ROLL_BYTES = 64 << 20
 LEVEL = 6
@@ -53,16 +54,21 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str | None, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {url} {payload_digest}')}>"
+def mark(url: str | None) -> int:
+    """A 64-bit mark of a url, so that decisions need not carry it."""
+    return 0 if url is None else int.from_bytes(hashlib.blake2b(url.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, of: str, length: int, refers_to: tuple[int | None, str | None] | None) -> bytes:
-    """A record, compressed; ``refers_to`` is the response's page_id and url for a revisit."""
+def record_id(page_id: int | None, url_mark: int, payload_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {url_mark} {payload_digest}')}>"
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, of: str, length: int, refers_to: tuple[int | None, int] | None) -> bytes:
+    """A record, compressed; ``refers_to`` is the response's page_id and url mark for a revisit."""
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, of) if refers_to is None else record_id(page_id, url, of + ' revisit')}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, mark(url), of + ' revisit' * (refers_to is not None))}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {urllib.parse.quote(url, safe=_SAFE)}")
     head.append(f"WARC-Payload-Digest: sha1:{of}")
@@ -77,76 +83,57 @@ def _record(page_id: int | None, url: str | None, payload: bytes, of: str, lengt
 _SAFE = "!#$%&'()*+,/:;=?@[]~-._"
 
 
-def _packed(pages: DataFrame, with_record: bool) -> DataFrame:
-    """(page_id, url, digest, length, size, revisit) and, on demand, the compressed response."""
+def _packed(pages: DataFrame, whole: bool) -> DataFrame:
+    """(page_id, url_mark, sha1) and what decisions need (length, size, revisit), or with ``whole`` url, length and the compressed response.
+
+    ``size`` and ``revisit`` are the compressed lengths of the record as a response
+    and, with a response of the longest id and mark, as a revisit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "html"):
                 ids, urls = piece.column("page_id").to_pylist(), piece.column("url").to_pylist()
                 payloads = [b"" if h is None else h.encode() for h in piece.column("html").to_pylist()]
-                of = [digest(p) for p in payloads]
-                records = [_record(i, u, p, d, len(p), None) for i, u, p, d in zip(ids, urls, payloads, of)]
-                columns = {"page_id": piece.column("page_id"), "url": piece.column("url"), "digest": pa.array(of, pa.string()), "length": pa.array(map(len, payloads), pa.int64())}
-                if with_record:
-                    columns["record"] = pa.array(records, pa.binary())
+                sums = [hashlib.sha1(p).digest() for p in payloads]
+                records = [_record(i, u, p, base64.b32encode(d).decode(), len(p), None) for i, u, p, d in zip(ids, urls, payloads, sums)]
+                columns = {"page_id": piece.column("page_id"), "url_mark": pa.array(map(mark, urls), pa.int64()), "sha1": pa.array(sums, pa.binary()), "length": pa.array(map(len, payloads), pa.int64())}
+                if whole:
+                    columns |= {"url": piece.column("url"), "record": pa.array(records, pa.binary())}
                 else:
                     columns["size"] = pa.array(map(len, records), pa.int64())
+                    columns["revisit"] = pa.array([len(_revisit(i, u, d, len(p), None, -(1 << 63))) for i, u, p, d in zip(ids, urls, payloads, sums)], pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    last = "record binary" if with_record else "size long"
-    return pages.mapInArrow(run, f"page_id long, url string, digest string, length long, {last}")
+    last = "url string, record binary" if whole else "size long, revisit long"
+    return pages.mapInArrow(run, f"page_id long, url_mark long, sha1 binary, length long, {last}")
 
 
-def _revisit_size(rows: DataFrame) -> DataFrame:
-    """Adds revisit_size, the compressed length of a row's revisit record."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [len(_record(r["page_id"], r["url"], b"", r["digest"], r["length"], (r["first_page"], r["first_url"]))) for r in batch.to_pylist()]
-            yield batch.append_column("revisit_size", pa.array(sizes, pa.int64()))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, revisit_size long")
+def _revisit(page_id: int | None, url: str | None, sha1: bytes, length: int, first_page: int | None, first_mark: int) -> bytes:
+    return _record(page_id, url, b"", base64.b32encode(sha1).decode(), length, (first_page, first_mark))
 
 
 def plan(pages: DataFrame, least: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Per distinct record (page_id, url, digest): n copies, whether the first is a response, the response's page and url, file_no and position."""
-    sizes = cut(_packed(pages, False).groupBy("page_id", "url", "digest", "length", "size").agg(F.count("*").alias("n")), "sizes")
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.coalesce("url", F.lit("")).alias("url_key"), F.col("url").alias("url"))
-    several = sizes.where(F.col("length") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
-    joined = sizes.join(several.drop("rows"), "digest", "left")
+    """Per distinct record (page_id, url_mark, sha1): whether payloads are shared, whether its first copy is a response, the response's page and mark, file_no and position."""
+    sizes = cut(_packed(pages, False).groupBy("page_id", "url_mark", "sha1", "length", "size", "revisit").agg(F.count("*").alias("n")), "sizes")
+    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("url_mark").alias("mark"))
+    several = sizes.where(F.col("length") >= least).groupBy("sha1").agg(F.min(order).alias("first"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    joined = sizes.join(several, "sha1", "left")
     shared = F.col("first").isNotNull()
-    is_first = F.col("page_id").eqNullSafe(F.col("first.page")) & F.col("url").eqNullSafe(F.col("first.url"))
-    decided = joined.select("page_id", "url", "digest", "length", "size", "n", shared.alias("shared"), (~shared | is_first).alias("response"), F.col("first.page").alias("first_page"), F.col("first.url").alias("first_url"))
-    repeated = F.col("shared")  # copies after the first one are revisits, or responses where payloads aren't shared
-    sized = _revisit_size(decided)
-    total = F.when(F.col("response"), F.col("size")).otherwise(F.col("revisit_size")) + (F.col("n") - 1) * F.when(repeated, F.col("revisit_size")).otherwise(F.col("size"))
-    ranked = with_rank(sized.withColumn("total", total), [F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last(), F.col("digest").asc()], "position")
-    return _offsets(ranked).withColumn("file_no", F.floor(F.col("offset") / roll_bytes)).select("page_id", "url", "digest", "n", "shared", "response", "first_page", "first_url", "position", "file_no")
-
-
-def _offsets(ranked: DataFrame, chunk: int = 1 << 14) -> DataFrame:
-    """Adds offset, the sum of ``total`` before each row in order of position: sums of chunks first, then inside each."""
-    from pyspark.sql import Window
-
-    rows = cut(ranked.withColumn("chunk", F.floor(F.col("position") / chunk)), "chunks")
-    sums = rows.groupBy("chunk").agg(F.sum("total").alias("t")).withColumn("upper", F.floor(F.col("chunk") / chunk))
-    upper = sums.groupBy("upper").agg(F.sum("t").alias("u"))
-    before_upper = upper.withColumn("b", F.coalesce(F.sum("u").over(Window.orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("u")
-    inside = F.coalesce(F.sum("t").over(Window.partitionBy("upper").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = sums.withColumn("a", inside).join(before_upper, "upper").select("chunk", (F.col("a") + F.col("b")).alias("before"))
-    own = F.coalesce(F.sum("total").over(Window.partitionBy("chunk").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("own", own).join(before, "chunk").withColumn("offset", F.col("own") + F.col("before")).drop("chunk", "own", "before")
+    response = ~shared | (F.col("page_id").eqNullSafe(F.col("first.page")) & (F.col("url_mark") == F.col("first.mark")))
+    total = F.when(response, F.col("size")).otherwise(F.col("revisit")) + (F.col("n") - 1) * F.when(shared, F.col("revisit")).otherwise(F.col("size"))
+    decided = joined.select("page_id", "url_mark", "sha1", shared.alias("shared"), response.alias("response"), F.when(shared, F.col("first.page")).alias("first_page"), F.col("first.mark").alias("first_mark"), total.alias("total"))
+    summed = with_sums(decided, [F.col("page_id").asc_nulls_last(), F.col("url_mark").asc(), F.col("sha1").asc()], "total", "position", "before")
+    return summed.withColumn("file_no", F.floor(F.col("before") / roll_bytes)).drop("total", "before")
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0, roll_bytes: int = ROLL_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes the archives of ``pages`` to ``path``; returns the manifest: file_no, name, n_records, bytes, sha1."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     decisions = cut(plan(rows, least, roll_bytes), "plan")
-    facts = decisions.withColumnsRenamed({"page_id": "p", "url": "u", "digest": "d"})
-    same = F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("digest") == F.col("d"))
-    placed = _packed(rows, True).join(facts, same).drop("p", "u", "d", "n")
+    facts = decisions.withColumnsRenamed({"page_id": "p", "url_mark": "u", "sha1": "d"})
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url_mark") == F.col("u")) & (F.col("sha1") == F.col("d"))
+    placed = _packed(rows, True).join(facts, same).drop("p", "u", "d", "url_mark")
     slim = placed.withColumn("record", F.when(F.col("response"), F.col("record")))  # a revisit's body isn't sent; copies of a response are told apart when written
     n_files = int(decisions.agg(F.max("file_no")).first()[0] or 0) + 1
     manifest = slim.repartition(n_files, "file_no").sortWithinPartitions("file_no", "position").mapInArrow(_writer(path), "file_no long, name string, n_records long, bytes long, sha1 string")
@@ -179,7 +166,7 @@ def _writer(path: str):
                 copy, last = r["position"] == last, r["position"]
                 data = r["record"]
                 if r["shared"] and (copy or not r["response"]):
-                    data = _record(r["page_id"], r["url"], b"", r["digest"], r["length"], (r["first_page"], r["first_url"]))
+                    data = _revisit(r["page_id"], r["url"], r["sha1"], r["length"], r["first_page"], r["first_mark"])
                 sink.write(data)
                 hashed.update(data)
                 n, size = n + 1, size + len(data)
