@@ -6,8 +6,9 @@ times) for every hash of every table; a hash is the axis with the largest value
 its sign. A table joins the hashes of one rotation each into a bucket, and the
 ``PROBES`` next best axes give further buckets (multiprobe). Classes that meet in a
 bucket are candidates, and links are those whose cosine, computed in double
-precision, reaches the threshold. The number of hashes to a bucket grows with the
-logarithm of the largest label's classes, so buckets keep their size.
+precision, reaches the threshold. A bucket's number has as many bits as keep the
+chance candidates of a vector at ``CHANCE`` whatever the largest label's classes are:
+hashes are added as they grow in number, the last one in part, and tables with them.
 
 Buckets of at most ``HOT`` classes give candidate pairs, each verified once. Larger
 ones (groups of near copies) are dealt in blocks; a task compares two blocks and
@@ -34,10 +35,9 @@ from lakeloom.llm.common import cut
 from lakeloom.llm.components import components
 
 THRESHOLD = 0.93
-TABLES = 10
 PROBES = 3
-#: Classes of one label that a bucket of random vectors should hold at most, about.
-BUCKET = 4
+#: Candidates of a vector that meet by chance, about.
+CHANCE = 2
 HOT = 128
 BLOCK = 512
 
@@ -53,10 +53,34 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int = PROBES, seed: int = 7) -> np.ndarray:
-    """(rows, tables * (1 + probes)) bucket numbers of unit vectors."""
+def shape(classes: int, d: int) -> tuple[int, int]:
+    """Tables, and bits of a bucket's number, for so many classes of one label.
+
+    A pair at the threshold shares a table's bucket with a probability that falls
+    with its number of hashes (about 0.85, 0.62, 0.41, 0.25 for two to five); so many
+    tables miss one such pair in about a thousand.
+    """
+    width, hashes = _full(d).bit_length(), 1
+    while True:
+        tables = math.ceil(5 * 1.75 ** (hashes - 2))
+        bits = max(1, math.ceil(math.log2(tables * (1 + PROBES) ** 2 * classes / CHANCE)))
+        if bits <= width * hashes:
+            return tables, bits
+        hashes += 1
+
+
+def _full(d: int) -> int:
+    """The power of two that a vector is filled up to."""
+    return 1 << max(1, (d - 1).bit_length())
+
+
+def bucket_keys(x: np.ndarray, tables: int, bits: int, probes: int = PROBES, seed: int = 7) -> np.ndarray:
+    """(rows, tables * (1 + probes)) bucket numbers, of ``bits`` bits, of unit vectors."""
     n, d = x.shape
-    full = 1 << max(1, (d - 1).bit_length())
+    full = _full(d)
+    width = full.bit_length()  # bits of a hash: axis and sign
+    hashes = -(-bits // width)
+    last = (1 << (bits - width * (hashes - 1))) - 1
     padded = np.zeros((n, full))
     padded[:, :d] = x
     rng = np.random.default_rng((seed, full))
@@ -64,7 +88,7 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int = PROBES, s
     rows = np.arange(n)
     for t in range(tables):
         codes, losses, seconds = [], [], []
-        for _ in range(hashes):
+        for h in range(hashes):
             y = padded
             for _ in range(3):
                 y = hadamard(y * rng.choice((-1.0, 1.0), full)) / math.sqrt(full)
@@ -73,6 +97,8 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int = PROBES, s
             order = np.argsort(-size, axis=1, kind="stable")
             near, size = np.take_along_axis(near, order, 1), np.take_along_axis(size, order, 1)
             code = near * 2 + (np.take_along_axis(y, near, 1) < 0)
+            if h == hashes - 1:
+                code &= last
             codes.append(code[:, 0])
             seconds.append(code[:, 1:])
             losses.append(size[:, :1] ** 2 - size[:, 1:] ** 2)
@@ -91,7 +117,7 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, probes: int = PROBES, s
     return keys.reshape(n, -1)
 
 
-def _buckets(classes: DataFrame, hashes: int) -> DataFrame:
+def _buckets(classes: DataFrame, tables: int, bits: int) -> DataFrame:
     """(cls, label, t, key): the buckets of each class; t tells tables and lengths of vectors apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +127,10 @@ def _buckets(classes: DataFrame, hashes: int) -> DataFrame:
             for d in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == d)
                 x = np.array([vectors[k] for k in at], np.float64)
-                keys = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), TABLES, hashes)
+                keys = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), tables, bits)
                 m = keys.shape[1]
                 rows = pa.array(np.repeat(at, m))
-                t = np.tile(np.repeat(np.arange(TABLES) + TABLES * d, m // TABLES), len(at)).astype(np.int32)
+                t = np.tile(np.repeat(np.arange(tables) + tables * d, m // tables), len(at)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("cls").take(rows), batch.column("label").take(rows), pa.array(t), pa.array(keys.ravel())], names=["cls", "label", "t", "key"])
 
     schema = f"cls long, label {classes.schema['label'].dataType.simpleString()}, t int, key long"
@@ -216,8 +242,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     most = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
     if not most["n"]:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    hashes = max(1, math.ceil(math.log(max(2.0, most["n"] / BUCKET)) / math.log(2 * (1 << max(1, (most["d"] - 1).bit_length())))))
-    buckets = cut(_buckets(classes, hashes), "buckets")
+    buckets = cut(_buckets(classes, *shape(most["n"], most["d"])), "buckets")
     hot = buckets.groupBy("label", "t", "key").agg(F.count("*").alias("size")).where(F.col("size") > HOT)
     hot = cut(hot.withColumn("bucket", F.monotonically_increasing_id()), "hot")
     any_hot = not hot.isEmpty()
