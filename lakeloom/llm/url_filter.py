@@ -14,12 +14,14 @@ each; an empty table is fine; columns that clash with the result's are replaced.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import cut
+
 SIZES = (3, 4)
-BUCKETS = 1 << 11
+BUCKETS = 1 << 14
 THRESHOLD = 0.5
 ADDED = ("host", "path", "rule", "score", "verdict")
 #: Actions and rules as host and path; a rule fits its host and all subdomains.
@@ -47,6 +49,8 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
                 (f"{scheme}://www.{w}site.example.{ending}/{section}/{200 + 41 * k}.html", bad),
                 (f"{scheme}://blog.example.{ending}/{section}/{w}/{300 + 43 * k}?page=2", bad),
                 (f"{scheme}://m.example.{ending}/{w}-{400 + 47 * k}/", bad),
+                (f"{scheme}://best{w}s.example.{ending}/{section}/{500 + 53 * k}", bad),
+                (f"{scheme}://shop.example.{ending}/{section}/my{w}24/", bad),
             ]
     for k, name in enumerate(_PLAIN):
         for j, (sub, tail) in enumerate((("", "/"), ("www.", ".html"), ("blog.", "?ref=x"), ("m.", "#top"), ("shop.", ""))):
@@ -82,19 +86,19 @@ def features(host: Column, path: Column) -> Column:
 def train(urls: DataFrame, url: str = "url", bad: str = "bad") -> tuple[list[float], float]:
     """Weights by bucket and intercept from labelled URLs; all zero if only one kind is there."""
     host, path = host_and_path(F.col(url))
-    rows = urls.where(F.col(bad).isin(0, 1)).select(F.col(bad).cast("double").alias("label"), features(host, path).alias("f"))
+    rows = cut(urls.where(F.col(bad).isin(0, 1)).select(F.col(bad).cast("double").alias("label"), features(host, path).alias("f")), "urls")
     if rows.select("label").distinct().count() < 2:
         return [0.0] * BUCKETS, 0.0
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("f"), i).cast("double"))
-    data = rows.select("label", array_to_vector(dense).alias("features"))
-    model = LogisticRegression(regParam=0.01, maxIter=100, standardization=False).fit(data)
+    to_vector = CountVectorizerModel.from_vocabulary([str(k) for k in range(BUCKETS)], inputCol="f", outputCol="features", binary=True)
+    data = to_vector.transform(rows.select("label", F.col("f").cast("array<string>").alias("f")))
+    model = LogisticRegression(regParam=0.0001, maxIter=100, standardization=False).fit(data)
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 
 def judge(pages: DataFrame, model: tuple[list[float], float], rules: tuple[tuple[str, str], ...] = RULES, url: str = "url") -> DataFrame:
     """Rows and columns of ``pages`` with host, path, rule, score and verdict (allow or block)."""
     weights, intercept = model
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    table = F.split(F.lit(",".join(f"{w:.5g}" for w in weights)), ",").cast("array<double>")
     host, path = host_and_path(F.col(url))
     rule = action = F.lit(None).cast("string")
     for act, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):  # the longest is asked first
