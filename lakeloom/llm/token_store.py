@@ -6,8 +6,8 @@ keeps the byte offset of each block, and of each document its id and its first
 position, so that a reader fetches the blocks of one document and unpacks them
 with numpy. A range shuffle puts documents in ascending ``doc_id`` order over the
 files; each task streams one file under a temporary name and renames it, and the
-manifest (a Parquet table that Spark commits when every task has ended) names the
-files that count.
+manifest (a small Parquet table, committed when every task has ended) names the files
+that count.
 
 Defined cases: a null text is empty, an empty text holds the end id alone, a null
 ``doc_id`` sorts last, rows with equal ``doc_id`` are all kept, in the order of a
@@ -33,8 +33,10 @@ from lakeloom.llm.common import filesystem, new_dir, offsets, slices, texts
 
 MAGIC = b"LOOMIDS1"
 BLOCK_IDS = 1 << 16
+#: Ids that a task reads at least, where files are small.
+READ_IDS = 1 << 22
 #: Distinct pieces of text whose ids a Python worker remembers.
-CACHE = 500_000
+CACHE = 300_000
 
 
 def bits_for(largest: int) -> int:
@@ -206,9 +208,10 @@ class Encoder:
                 start = stop
 
     def encode(self, batch: list[str], end_id: int) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known.clear()
         split = [self.pieces(t) for t in batch]
+        if len(self.known) > CACHE:  # what this batch has stays: frequent pieces come again
+            used = set().union(*[found for found, _ in split])
+            self.known = {p: self.known[p] for p in used & self.known.keys()}
         whole = set().union(*[w for _, w in split]) - self.known.keys()
         new = set().union(*[p for p, _ in split]) - self.known.keys() - whole
         self._learn(list(new))
@@ -251,7 +254,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, d
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     manifest = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "file_no int, name string, n_docs long, n_ids long")
-    manifest.write.parquet(f"{path}/_manifest")
+    files = manifest.collect()  # a row for each file
+    docs.sparkSession.createDataFrame(files, manifest.schema).coalesce(1).write.parquet(f"{path}/_manifest")
     return docs.sparkSession.read.parquet(f"{path}/_manifest")
 
 
@@ -279,8 +283,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     manifest = spark.read.parquet(f"{path}/_manifest")
     files = manifest.join(F.broadcast(offsets(manifest, "file_no", "n_ids")), "file_no").select("name", "__before")
-    n = max(1, manifest.count())
-    return files.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    size = manifest.agg(F.count("*").alias("files"), F.sum("n_ids").alias("ids")).first()
+    tasks = min(size["files"], max(spark.sparkContext.defaultParallelism, (size["ids"] or 0) // READ_IDS))
+    return files.repartition(max(1, tasks)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
