@@ -45,7 +45,7 @@ class DatasetSpec:
     """A named table: where it comes from, whether it can be written, its time column, how it is kept."""
 
     name: str
-    source: str | DataFrame
+    source: str | DataFrame | None  # None: a sink, whose first write gives the schema
     mode: str = "read"  # or read_write
     file_format: str | None = None
     options: dict[str, str] = field(default_factory=dict)
@@ -137,12 +137,18 @@ class Engine:
             keys = [tuple(k) for k in (spec.acceleration.primary_key, *spec.acceleration.unique) if k]
             ops.check_conflicts(spec.acceleration.on_conflict, keys)
         self.specs[spec.name] = spec
-        if spec.acceleration and spec.acceleration.mode in ("full", "append") and Store(self.spark, spec.acceleration.path).latest() is None:
+        if spec.acceleration and spec.acceleration.mode in ("full", "append") and spec.source is not None and Store(self.spark, spec.acceleration.path).latest() is None:
             self.refresh(spec.name)
-        self._publish(spec.name)
+        if spec.source is not None or self.table_exists(spec.name):
+            self._publish(spec.name)
         if spec.has_metadata_table and isinstance(spec.source, str):
             listing(self.spark, spec.source).createOrReplaceTempView(f"metadata_{spec.name}")
 
+    def table_exists(self, name: str) -> bool:
+        """Whether the dataset has a schema: a sink has none before its first write."""
+        spec = self.specs[name]
+        return spec.source is not None or (spec.acceleration is not None and Store(self.spark, spec.acceleration.path).latest() is not None)
+
     def _publish(self, name: str) -> None:
         self.table(name).createOrReplaceTempView(name)
         self.versions[name] = self.versions.get(name, 0) + 1
@@ -213,8 +219,9 @@ class Engine:
         spec = self.specs[name]
         if spec.mode != "read_write":
             raise ReadOnly(f"{name} can't be written")
-        ops.check_write(df, self.table(name).schema)
-        df = df.toDF(*self.table(name).columns)
+        if self.table_exists(name):
+            ops.check_write(df, self.table(name).schema)
+            df = df.toDF(*self.table(name).columns)
         if spec.acceleration:
             store = Store(self.spark, spec.acceleration.path)
             if isinstance(spec.source, str):
@@ -222,7 +229,7 @@ class Engine:
                 df.write.mode(mode).format(spec.file_format or "parquet").save(spec.source)
             if mode == "overwrite":
                 n = store.overwrite(df)
-            elif spec.acceleration.on_conflict:
+            elif spec.acceleration.on_conflict and store.latest() is not None:
                 n = store.overwrite(ops.resolve_conflicts(self.table(name), df, spec.acceleration.on_conflict))
             else:
                 n = store.append(df)
@@ -307,5 +314,15 @@ class Engine:
         """The table as a CREATE TABLE text."""
         return f"CREATE TABLE {name} (\n" + ",\n".join(f"  {f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in self.table(name).schema.fields) + "\n)"
 
+    def tables(self, schema: str | None = None) -> DataFrame:
+        """Catalog, schema, name and type of every table: datasets are ``public``, system tables ``runtime``, listings ``metadata``."""
+        rows = []
+        for t in self.spark.catalog.listTables():
+            kind = next((k for k in ("runtime", "metadata") if t.name.startswith(f"{k}_")), "public")
+            if t.name in self.specs or t.name in self.views or kind != "public":
+                rows.append(("lakeloom", kind, t.name, "VIEW" if t.name in self.views else "BASE TABLE"))
+        found = self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, table_type string")
+        return found if schema is None else found.where(F.col("table_schema") == schema)
+
     def primary_keys(self) -> dict[str, list[str]]:
         return {n: s.acceleration.primary_key for n, s in self.specs.items() if s.acceleration and s.acceleration.primary_key}

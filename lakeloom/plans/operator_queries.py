@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.functions import scalar as S
+from lakeloom.functions.registry import call
 from lakeloom.functions.vectors import array_distance, cosine_distance, vector
 from lakeloom.operators import metrics, refresh, sampling, search
 from lakeloom.operators.changes import apply_changes, change_schema, debezium_value, decode_debezium
@@ -80,6 +81,24 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_contains(both, "PROMO").alias("has_promo"), F.element_at(both, 1).alias("first_of"), F.size(F.array("p_size", F.lit(2), F.lit(3))).cast("long").alias("n"))
 
 
+@register("""
+    SELECT event_id, make_timestamp(event_id * 1000000) AS by_seconds, make_timestamp(event_id * 1000) AS by_millis, make_timestamp(event_id) AS by_micros,
+           make_timestamp(event_id * 1000000) AS by_unix, date_trunc('day', ts) AS day, CAST(date_part('hour', ts) AS INT) AS h FROM events""")
+def fn_time_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, plain = F.col("event_id"), lambda c: c.cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select(
+        "event_id", plain(call("to_timestamp_seconds", i)).alias("by_seconds"), plain(call("to_timestamp_millis", i)).alias("by_millis"), plain(call("to_timestamp_micros", i)).alias("by_micros"),
+        plain(call("from_unixtime", i)).alias("by_unix"), plain(call("datetrunc", "day", "ts")).alias("day"), call("datepart", F.lit("hour"), F.col("ts")).cast("int").alias("h"),
+    )
+
+
+@register("SELECT p_partkey, 32 AS uuid_length_without_dashes, true AS in_range, 'Int64' AS kind, 'Economy' AS capital, true AS today FROM part WHERE p_type = 'ECONOMY'")
+def fn_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions whose values change from run to run, by what stays; names of types; capitals."""
+    r = call("random")
+    return table(spark, sf_dir, "part").where("p_type = 'ECONOMY'").select("p_partkey", F.length(F.replace(call("uuid"), F.lit("-"), F.lit(""))).alias("uuid_length_without_dashes"), ((r >= 0) & (r < 1)).alias("in_range"), call("arrow_typeof", F.col("p_partkey")).alias("kind"), call("initcap", F.col("p_type")).alias("capital"), (call("current_date") <= F.to_date(call("now"))).alias("today"))
+
+
 # ---- vectors
 
 
@@ -341,6 +360,16 @@ def engine_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT event_id, ts, value FROM engine_events")
 
 
+@register("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 IN (0, 1)")
+def engine_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink takes the schema of its first write; a second one is appended."""
+    engine, orders = Engine(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    engine.register(DatasetSpec("engine_sink_table", None, mode="read_write", acceleration=Acceleration(new_dir(spark, "sink"))))
+    engine.write("engine_sink_table", orders.where("o_orderkey % 4 = 0"))
+    engine.write("engine_sink_table", orders.where("o_orderkey % 4 = 1"))
+    return engine.sql("SELECT o_orderkey, o_totalprice FROM engine_sink_table")
+
+
 @register("""
     WITH b AS (SELECT l_returnflag, unnest([10, 20, 30, 40]) AS le FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
     c AS (SELECT b.l_returnflag, b.le, count(l_quantity) AS n FROM b JOIN lineitem l ON l.l_returnflag = b.l_returnflag AND l_quantity <= b.le GROUP BY ALL),

@@ -234,3 +234,29 @@ def test_llm_is_not_needed():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n for n in names), path
+
+
+def test_function_registry(spark):
+    from lakeloom.functions.registry import FUNCTIONS, call
+
+    assert len(FUNCTIONS) > 85
+    assert one(spark, call("LPAD", F.lit("a"), F.lit(3), F.lit("*"))) == "**a"
+    assert one(spark, call("date_part", F.lit("year"), F.lit("2024-05-06").cast("date"))) == 2024
+    assert one(spark, call("least", F.lit(3), F.lit(None).cast("int"), F.lit(2))) == 2
+    assert one(spark, call("trunc", F.lit(1.99))) == 1.0
+    with pytest.raises(ValueError, match="no function"):
+        call("nothing")
+
+
+def test_sinks_and_catalog(spark):
+    engine = Engine(spark)
+    engine.register(DatasetSpec("late", None, mode="read_write", acceleration=Acceleration(new_dir(spark, "late"))))
+    assert not engine.table_exists("late")
+    assert engine.write("late", spark.range(3)) == 3 and engine.table_exists("late")
+    with pytest.raises(ValueError):
+        engine.write("late", spark.createDataFrame([("x",)], "id string"))
+    engine.register_views({"late_view": "SELECT id FROM late WHERE id > 0"})
+    engine.system_tables()
+    got = {(r.table_schema, r.table_name, r.table_type) for r in engine.tables().collect()}
+    assert {("public", "late", "BASE TABLE"), ("public", "late_view", "VIEW"), ("runtime", "runtime_task_history", "BASE TABLE")} <= got
+    assert engine.tables("runtime").count() == 3
