@@ -7,7 +7,10 @@ of a document, each given both sides, is its pseudo-log-likelihood.
 
 Words (between ASCII white space, A-Z lower-cased) are hashed into ``HASHED``
 buckets; those of the most frequent buckets are units of their own, and the rest
-share ``RARE`` units. Frequencies are counted over all documents. Then the network
+share ``RARE`` units. Frequencies are counted over all documents. A word of a shared
+unit has its bucket's share of the unit's probability: (count + SMOOTH) / (unit's count +
+SMOOTH * unit's buckets), so unseen buckets have a share too and the shares of a unit
+sum to 1. ``score`` splits units among words with ``by_word``. Then the network
 is trained over all documents: each task masks every ``EVERY``-th word of what it
 reads, from an offset that the document's length gives, trains a copy of the
 network in numpy, and returns its parameters in pieces; the pieces' means, weighted
@@ -46,6 +49,8 @@ RATE = 0.003
 LEAST_STEPS = 200
 AGAIN = 1 << 16
 PIECE = 4096
+#: Added to the count of every bucket of a shared unit, seen or not.
+SMOOTH = 0.5
 ADDED = {"n_tokens": T.LongType(), "log_prob": T.DoubleType(), "mean_log_prob": T.DoubleType()}
 
 _SHAPES = {"e": (UNITS + 1, WIDTH), "w": (2 * WINDOW * WIDTH, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, SIDE), "bc": (SIDE,), "wd": (SIDE, HIDDEN, SIDE), "bd": (SIDE, SIDE)}
@@ -179,25 +184,28 @@ class Adam:
 
 
 class Model:
-    """The units of hash buckets and the network's parameters."""
+    """The units of hash buckets, the logarithm of each bucket's share of its unit, and the network's parameters."""
 
-    def __init__(self, unit: np.ndarray, flat: np.ndarray):
-        self.unit, self.flat = unit, flat
+    def __init__(self, unit: np.ndarray, share: np.ndarray, flat: np.ndarray):
+        self.unit, self.share, self.flat = unit, share, flat
 
-    def score(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Number of words and summed log-probability of each text."""
+    def score(self, batch: pa.Array, by_word: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Number of words and summed log-probability of each text, of its units or of the words' buckets."""
         net = Network(self.flat)
         found, counts = buckets(batch)
         ids = self.unit[found].astype(np.int64)
         ctx = contexts(ids, counts)
         each = np.concatenate([np.zeros(0), *(net.log_prob(ids[k : k + 32768], ctx[k : k + 32768]) for k in range(0, len(ids), 32768))])
+        if by_word:
+            each += self.share[found]
         return counts, np.bincount(np.repeat(np.arange(len(counts)), counts), each, len(counts))
 
 
-def units(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The unit of each hash bucket and the count of each unit, over all documents.
+def units(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unit of each hash bucket, the logarithm of its share of it, and the count of each unit, over all documents.
 
-    Units are numbered by falling frequency, so that a class holds similar ones.
+    Units are numbered by falling frequency, so that a class holds similar ones. The
+    driver gets one number a bucket, ``1 << HASH_BITS`` at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +216,28 @@ def units(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["f", "n"])
 
-    counted = cut(docs.mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")), "frequencies")
-    top = counted.orderBy(F.col("n").desc(), "f").limit(UNITS - RARE)
-    common = [(r["f"], r["n"]) for r in top.collect()]
-    rare = dict.fromkeys(range(RARE), 0)
-    rest = counted.join(F.broadcast(counted.sparkSession.createDataFrame([(f,) for f, _ in common] or [(-1,)], "f int")), "f", "left_anti")
-    rare |= {r["k"]: r["n"] for r in rest.groupBy((F.col("f") % RARE).alias("k")).agg(F.sum("n").alias("n")).collect()}
-    names = sorted([(n, 0, f) for f, n in common] + [(n, 1, k) for k, n in rare.items()] + [(0, 2, k) for k in range(UNITS - RARE - len(common))], key=lambda x: (-x[0], x[1:]))
-    unit, counts, of_rare = np.full(1 << HASH_BITS, -1, np.int16), np.zeros(UNITS), np.zeros(RARE, np.int16)
-    for u, (n, kind, f) in enumerate(names):
-        counts[u] = n
+    counted = docs.mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << HASH_BITS, np.int64)
+    n[counted.column("f").to_numpy()] = counted.column("n").to_numpy()
+    seen = np.flatnonzero(n)
+    common = seen[np.argsort(-n[seen], kind="stable")][: UNITS - RARE]
+    shared = np.ones(len(n), bool)
+    shared[common] = False
+    of_rare = np.arange(len(n)) % RARE
+    rare = np.bincount(of_rare[shared], n[shared], RARE).astype(np.int64)
+    names = sorted([(n[f], 0, f) for f in common.tolist()] + [(rare[k], 1, k) for k in range(RARE)] + [(0, 2, k) for k in range(UNITS - RARE - len(common))], key=lambda x: (-x[0], x[1:]))
+    unit, counts, unit_of_rare = np.zeros(len(n), np.int16), np.zeros(UNITS), np.zeros(RARE, np.int16)
+    for u, (total, kind, f) in enumerate(names):
+        counts[u] = total
         if kind == 0:
             unit[f] = u
         elif kind == 1:
-            of_rare[f] = u
-    free = np.flatnonzero(unit < 0)
-    unit[free] = of_rare[free % RARE]
-    return unit, counts
+            unit_of_rare[f] = u
+    unit[shared] = unit_of_rare[of_rare[shared]]
+    share = np.zeros(len(n), np.float32)
+    all_ = rare + SMOOTH * np.bincount(of_rare[shared], minlength=RARE)
+    share[shared] = np.log((n[shared] + SMOOTH) / all_[of_rare[shared]])
+    return unit, share, counts
 
 
 def _mean(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -239,7 +252,7 @@ def _mean(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Counts and trains over all documents."""
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    unit, counts = units(rows)
+    unit, share, counts = units(rows)
     first = Network.start(counts).flat
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,18 +291,22 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     for r in cut(pieces, "network").orderBy("part").collect():
         x = np.frombuffer(r["x"], np.float32)
         flat[r["piece"] * PIECE : r["piece"] * PIECE + len(x)] = x
-    return Model(unit, flat)
+    return Model(unit, share, flat)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Rows and columns of ``docs`` with n_tokens, log_prob and mean_log_prob."""
+def score(docs: DataFrame, model: Model, text: str = "text", by_word: bool = False) -> DataFrame:
+    """Rows and columns of ``docs`` with n_tokens, log_prob and mean_log_prob.
+
+    ``by_word`` gives each word its bucket's share of a shared unit's probability;
+    without it a word counts as its unit.
+    """
     base = docs.drop(*ADDED)
     schema = T.StructType([*base.schema.fields, *(T.StructField(c, t) for c, t in ADDED.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, text, 2 << 20):
-                n, total = model.score(piece.column(text))
+                n, total = model.score(piece.column(text), by_word)
                 mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(n, pa.int64()), pa.array(total), pa.array(mean, mask=n == 0)], names=[*piece.schema.names, *ADDED])
 

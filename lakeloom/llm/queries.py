@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked_lm.score(docs, masked_lm.train(docs)).drop("text")
+    return masked_lm.score(docs, masked_lm.train(docs), by_word=True).drop("text")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, language, masked_lm, mixing, simhash, token_store, toxicity
+from lakeloom.llm import decontaminate, language, masked_lm, mixing, queries, simhash, token_store, toxicity
 from lakeloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -394,3 +394,23 @@ def test_masked_lm_learns_both_sides(spark, none):
     shuffled = spark.createDataFrame([(i, " ".join(sorted(t.split(), key=lambda w: hash((w, i)) % 97)), *r) for i, t, *r in rows[:50]], SCHEMA)
     assert good > masked_lm.score(shuffled, model).agg(F.avg("mean_log_prob")).first()[0] + 0.5
     assert masked_lm.score(none, model).count() == 0 and masked_lm.score(none, masked_lm.train(none)).count() == 0
+
+
+def test_masked_lm_splits_shared_units_among_words(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(9000)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(9000)], k=400)), "en", "a", 1) for i in range(80)]
+    rows += [(80 + i, " ".join(words[i::20]), "en", "a", 1) for i in range(20)] + [(100, "qzx" * 9, "en", "a", 1)]
+    spark.createDataFrame(rows[:100], SCHEMA).write.parquet(f"{tmp_path}/train.parquet")
+    model = masked_lm.train(spark.read.parquet(f"{tmp_path}/train.parquet"))
+    unit, share = model.unit.astype(int), np.exp(model.share.astype(np.float64))
+    own = np.flatnonzero(np.bincount(unit, minlength=masked_lm.UNITS) == 1)
+    np.testing.assert_allclose(np.bincount(unit, share, masked_lm.UNITS)[np.unique(unit)], 1, rtol=1e-4)  # so the probabilities of all buckets sum to 1
+    assert len(own) and (share[np.isin(unit, own)] == 1).all() and share.min() > 0
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_prob for r in queries.op1_masked_lm(spark, str(tmp_path)).where("doc_id IN (0, 100)").collect()}
+    fresh = masked_lm.train(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    by_unit = {r.doc_id: r.log_prob for r in masked_lm.score(spark.createDataFrame([rows[0], rows[100]], SCHEMA), fresh).collect()}
+    assert got[100] < by_unit[100] - 3 and got[0] < by_unit[0]
+    garbled, known = (masked_lm.score(spark.createDataFrame([(1, t, "en", "a", 1)], SCHEMA), model, by_word=True).first().log_prob for t in ("zzqqxx", "w300"))
+    assert garbled < known
