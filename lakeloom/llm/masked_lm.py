@@ -11,11 +11,11 @@ share ``RARE`` units. Frequencies are counted over all documents. A word of a sh
 unit has its bucket's share of the unit's probability: (count + SMOOTH) / (unit's count +
 SMOOTH * unit's buckets), so unseen buckets have a share too and the shares of a unit
 sum to 1. ``score`` splits units among words with ``by_word``. Then the network
-is trained over all documents: each task masks every ``EVERY``-th word of what it
-reads, from an offset that the document's length gives, trains a copy of the
-network in numpy, and returns its parameters in pieces; the pieces' means, weighted
-by masked words and taken in two levels, are the network. Each masked word is used once,
-except in tasks of few words; scoring predicts every word.
+is trained over all documents: each task masks every word of what it reads once,
+trains a copy of the network in numpy, and returns its parameters in pieces; the
+pieces' means, weighted by words and taken in two levels, are the network. A step takes
+``FIRST_BATCH`` words at first and twice as many after every ``DOUBLE`` steps, up to
+``BATCH``, in every task, so few words give many steps. Scoring predicts every word.
 
 Defined cases: a null or empty text has no words, log_prob 0 and a null mean;
 repeated rows count each; an empty table gives an empty result; columns of ``docs``
@@ -42,12 +42,10 @@ RARE = 128
 WINDOW = 2
 WIDTH = 12
 HIDDEN = 32
-EVERY = 8
 BATCH = 1024
+FIRST_BATCH = 32
+DOUBLE = 128
 RATE = 0.003
-#: Steps of each task at least: one with few words goes over its masked words again.
-LEAST_STEPS = 200
-AGAIN = 1 << 16
 PIECE = 4096
 #: Added to the count of every bucket of a shared unit, seen or not.
 SMOOTH = 0.5
@@ -125,22 +123,32 @@ class Network:
         return x, np.tanh(x @ self.w + self.b)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _log_softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's softmax, in the place of ``z`` and short of its division by the sums, and the logarithms of it at ``at``; then the sums."""
         z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        total = p.sum(axis=1, keepdims=True)
-        return p / total, z - np.log(total)
+        found = z[np.arange(len(z)), at]
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[1], z.dtype)
+        return found - np.log(total), total
+
+    def _inner(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """The order by class, each class with its rows in that order, and in that order h and the logits in the class."""
+        order = np.argsort(of.astype(np.int16), kind="stable")
+        sorted_, ends = h[order], np.searchsorted(of[order], np.arange(SIDE + 1)).tolist()
+        spans = [(c, a, b) for c, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+        z = np.empty((len(of), SIDE), np.result_type(h, self.wd))
+        for c, a, b in spans:
+            np.matmul(sorted_[a:b], self.wd[c], out=z[a:b])
+            z[a:b] += self.bd[c]
+        return order, spans, sorted_, z
 
     def log_prob(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability given its context."""
         _, h = self.hidden(ctx)
-        of, inner, rows = ids // SIDE, ids % SIDE, np.arange(len(ids))
-        out = self._softmax(h @ self.wc + self.bc)[1][rows, of].astype(np.float64)
-        order = np.argsort(of.astype(np.int16), kind="stable")
-        ends = np.searchsorted(of[order], np.arange(SIDE + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            at = order[ends[c] : ends[c + 1]]
-            out[at] += self._softmax(h[at] @ self.wd[c] + self.bd[c])[1][np.arange(len(at)), inner[at]]
+        of, inner = ids // SIDE, ids % SIDE
+        out = self._log_softmax(h @ self.wc + self.bc, of)[0].astype(np.float64)
+        order, _, _, z = self._inner(h, of)
+        out[order] += self._log_softmax(z, inner[order])[0]
         return out
 
     def gradient(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -148,25 +156,30 @@ class Network:
         g, n = Network(np.zeros(_SIZE, np.float32)), len(ids)
         x, h = self.hidden(ctx)
         of, inner = ids // SIDE, ids % SIDE
-        p = self._softmax(h @ self.wc + self.bc)[0]
-        p[np.arange(n), of] -= 1
+        rows = np.arange(n)
+        p = h @ self.wc + self.bc
+        p /= self._log_softmax(p, of)[1][:, None]
+        p[rows, of] -= 1
         g.wc[...], g.bc[...] = h.T @ p, p.sum(axis=0)
-        dh = p @ self.wc.T
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange(SIDE + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            at = order[ends[c] : ends[c + 1]]
-            q = self._softmax(h[at] @ self.wd[c] + self.bd[c])[0]
-            q[np.arange(len(at)), inner[at]] -= 1
-            g.wd[c], g.bd[c] = h[at].T @ q, q.sum(axis=0)
-            dh[at] += q @ self.wd[c].T
+        order, spans, sorted_, q = self._inner(h, of)
+        q /= self._log_softmax(q, inner[order])[1][:, None]
+        q[rows, inner[order]] -= 1
+        dh = np.empty_like(h)
+        for c, a, b in spans:
+            np.matmul(sorted_[a:b].T, q[a:b], out=g.wd[c])
+            np.matmul(q[a:b], self.wd[c].T, out=dh[a:b])
+        if spans:
+            g.bd[[c for c, _, _ in spans]] = np.add.reduceat(q, [a for _, a, _ in spans])
+        dh[order] = dh.copy()
+        dh += p @ self.wc.T
         dz = dh * (1 - h * h)
         g.w[...], g.b[...] = x.T @ dz, dz.sum(axis=0)
         dx = (dz @ self.w.T).reshape(-1, WIDTH)
         flat = ctx.ravel()
         for k in range(WIDTH):
             g.e[:, k] = np.bincount(flat, dx[:, k], UNITS + 1)
-        return g.flat / n
+        g.flat /= n
+        return g.flat
 
 
 class Adam:
@@ -174,13 +187,27 @@ class Adam:
 
     def __init__(self, net: Network, rate: float = RATE):
         self.net, self.rate, self.t = net, rate, 0
-        self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
+        self.m, self.v, self.a, self.b = (np.zeros_like(net.flat) for _ in range(4))
 
     def step(self, g: np.ndarray) -> None:
         self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.001 * (g * g - self.v)
-        self.net.flat -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+        a, b = self.a, self.b
+        self.m += np.multiply(np.subtract(g, self.m, out=a), 0.1, out=a)
+        np.multiply(g, g, out=a)
+        self.v += np.multiply(np.subtract(a, self.v, out=a), 0.001, out=a)
+        np.multiply(self.v, 1 / (1 - 0.999**self.t), out=b)
+        np.add(np.sqrt(b, out=b), 1e-8, out=b)
+        np.multiply(self.m, self.rate / (1 - 0.9**self.t), out=a)
+        self.net.flat -= np.divide(a, b, out=a)
+
+
+def deals(n: int, adam: Adam) -> Iterator[np.ndarray]:
+    """The places of ``n`` words in random order, each once, in batches that grow with the steps that ``adam`` has made."""
+    order, k = np.random.default_rng(n).permutation(n), 0
+    while k < n:
+        size = min(BATCH, FIRST_BATCH << min(adam.t // DOUBLE, 16))
+        yield order[k : k + size]
+        k += size
 
 
 class Model:
@@ -195,7 +222,7 @@ class Model:
         found, counts = buckets(batch)
         ids = self.unit[found].astype(np.int64)
         ctx = contexts(ids, counts)
-        each = np.concatenate([np.zeros(0), *(net.log_prob(ids[k : k + 32768], ctx[k : k + 32768]) for k in range(0, len(ids), 32768))])
+        each = np.concatenate([np.zeros(0), *(net.log_prob(ids[k : k + 8192], ctx[k : k + 8192]) for k in range(0, len(ids), 8192))])
         if by_word:
             each += self.share[found]
         return counts, np.bincount(np.repeat(np.arange(len(counts)), counts), each, len(counts))
@@ -257,28 +284,16 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, n = Network(first.copy()), 0
-        adam, kept, n_kept = Adam(net), [], 0
+        adam = Adam(net)
         for batch in batches:
             for piece in slices(batch, "text", 2 << 20):
                 found, each = buckets(piece.column("text"))
                 ids = unit[found].astype(np.int64)
                 ctx = contexts(ids, each)
-                place = np.arange(len(ids)) - np.repeat(np.cumsum(each) - each, each)
-                masked = np.flatnonzero((place + np.repeat(each, each)) % EVERY == 0)
-                masked = np.random.default_rng(len(ids)).permutation(masked)
-                for k in range(0, len(masked), BATCH):
-                    at = masked[k : k + BATCH]
+                for at in deals(len(ids), adam):
                     adam.step(net.gradient(ids[at], ctx[at]))
-                n += len(masked)
-                if n_kept < AGAIN:
-                    kept.append((ids[masked], ctx[masked]))
-                    n_kept += len(masked)
+                n += len(ids)
         if n:
-            ids, ctx = (np.concatenate(x) for x in zip(*kept))
-            rng = np.random.default_rng(n)
-            while adam.t < LEAST_STEPS:
-                at = rng.permutation(len(ids))[:BATCH]
-                adam.step(net.gradient(ids[at], ctx[at]))
             parts = [net.flat[k : k + PIECE].tobytes() for k in range(0, _SIZE, PIECE)]
             here = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([here // 64] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["piece", "part", "n", "x"])

@@ -414,3 +414,18 @@ def test_masked_lm_splits_shared_units_among_words(spark, tmp_path):
     assert got[100] < by_unit[100] - 3 and got[0] < by_unit[0]
     garbled, known = (masked_lm.score(spark.createDataFrame([(1, t, "en", "a", 1)], SCHEMA), model, by_word=True).first().log_prob for t in ("zzqqxx", "w300"))
     assert garbled < known
+
+
+def test_masked_lm_trains_on_every_word(spark):
+    adam = masked_lm.Adam(masked_lm.Network.start(np.ones(masked_lm.UNITS)))
+    for n in (0, 1, 31, 5000, 70_000):
+        dealt = []
+        for at in masked_lm.deals(n, adam):
+            dealt += at.tolist()
+            adam.t += 1
+        assert sorted(dealt) == list(range(n))
+    # Texts of two words: no multiple of 8 lies in 2..3, so none of them was ever a target.
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i in range(4000) for t in [("a b", "c d")[i % 2]]], SCHEMA)
+    model = masked_lm.train(docs)
+    good, bad = (masked_lm.score(spark.createDataFrame([(1, t, "en", "a", 1)], SCHEMA), model).first().log_prob for t in ("a b", "a d"))
+    assert good > bad + 1
