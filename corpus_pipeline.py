@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages: each works on all that its predecessor kept.
 
-Toxicity rejects documents; of each SimHash group the document with the least id
+Toxicity rejects documents; of each SimHash group one row, that with the least id,
 stays; documents that hold benchmark windows go; the rest is mixed to the sources'
 target weights, a document taken twice being two rows; the mix is encoded.
 """
@@ -14,7 +14,7 @@ from lakeloom.llm.common import cut
 from lakeloom.llm.decontaminate import search_benchmark
 from lakeloom.llm.mixing import mix
 from lakeloom.llm.queries import table, vocabulary
-from lakeloom.llm.simhash import near_duplicates
+from lakeloom.llm.simhash import one_of_each
 from lakeloom.llm.token_store import token_table
 from lakeloom.llm.toxicity import score, train
 
@@ -25,9 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay: none of them can be told from the group's other rows."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,15 +59,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every row as a signed long; then the long columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in texts(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(c) for c in keep)], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in keep)]))
 
 
 def _byte(fp: Column, p: int) -> Column:
@@ -173,3 +174,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_
     least = labelled.groupBy("__root").agg(F.min("rep").alias("component_id"))
     named = cut(labelled.join(least, "__root").select("fp", "component_id"), "named")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of each group: the one with the least id (null last), then hash of its text, then place.
+
+    Rows are told apart by a number that is written with them, so repeated rows,
+    shared ids and null ids are rows like any other.
+    """
+    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    hashed = keyed.withColumn("__text", F.xxhash64(F.col(text).cast("string")))
+    found = cut(fingerprints(hashed, shingle, doc_id, text, ("__text", "__row")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text", "__row")
+    classes = cut(found.groupBy("fp").agg(F.min(order).alias("best")), "classes")
+    roots = components(links(classes.select("fp"))).withColumnsRenamed({"node": "fp", "root": "__root"})
+    labelled = classes.join(roots, "fp", "left").withColumn("__root", F.coalesce("__root", "fp"))
+    kept = labelled.groupBy("__root").agg(F.min("best").alias("best")).select("best.__row")
+    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)

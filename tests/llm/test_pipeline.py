@@ -41,3 +41,18 @@ def test_stages_of_no_rows(spark, sf):
     docs = queries.table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_simhash_stage_keeps_one_row_of_each_group(spark, sf):
+    a, b, c = (" ".join(f"{x}{i * i}" for i in range(40)) for x in "abc")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [
+        (1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "en", "s", 1),  # repeated rows
+        (5, a, "en", "s", 1), (5, b, "en", "s", 1),  # an id of a copy and of a text of its own
+        (None, c, "en", "s", 1), (None, c, "en", None, None), (None, c, "en", "s", 1),  # copies without ids
+        (None, b, "en", "s", 1), (None, None, None, None, None), (9, "", "en", "s", 0),
+    ]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    got = corpus_pipeline.simhash(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (5, b), (None, c), (9, "")], key=repr)
