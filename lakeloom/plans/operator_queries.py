@@ -318,6 +318,13 @@ def unnest_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unnest(nested, 2)
 
 
+@register("SELECT doc_id, CAST(unnest(range(1, len(w) + 1)) AS INT) AS nth, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
+def arrays_unnest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every document with its place; ``arrays_unnest`` has five words of the first ids."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return words.select("doc_id", (F.col("pos") + 1).alias("nth"), "word")
+
+
 @register("SELECT p_partkey, p_name, p_brand FROM part")
 def src_hive_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder with one folder a brand, its key read back as text."""

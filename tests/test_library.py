@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import scalar as S
 from lakeloom.functions.vectors import cosine_distance
 from lakeloom.operators import metrics, sampling, search
+from lakeloom.plans import registry
 from lakeloom.plans.engine import Acceleration, DatasetSpec, Engine, ReadOnly, ResultsCache, check_read_only, check_refresh_sql
 from lakeloom.sources import readers
 from lakeloom.sources.scratch import new_dir
@@ -260,3 +261,10 @@ def test_sinks_and_catalog(spark):
     got = {(r.table_schema, r.table_name, r.table_type) for r in engine.tables().collect()}
     assert {("public", "late", "BASE TABLE"), ("public", "late_view", "VIEW"), ("runtime", "runtime_task_history", "BASE TABLE")} <= got
     assert engine.tables("runtime").count() == 3
+
+
+def test_unnest_reaches_every_word_of_every_document(spark, tmp_path):
+    texts = {0: "a b c d e f  g", 199: "", 200: "x", 5000: " ".join(map(str, range(3000))), 7: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["arrays_unnest_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, k + 1, w) for i, t in texts.items() if t is not None for k, w in enumerate(t.split(" ")))
