@@ -8,8 +8,10 @@ bytes index a shift table, so most positions of a text are never looked at; wher
 the shift is 0, the block selects a bucket of test strings, and comparing the bytes
 confirms an occurrence. Many lanes of the text advance together in numpy.
 
-The benchmark is read in parts of at most ``PART_BYTES`` of text, and each part is
-searched in a pass of its own, so memory does not grow with it.
+The benchmark is dealt by Spark into parts of about ``PART_BYTES`` of text in the
+shared folder, and each part is searched in a pass of its own, whose tasks read it
+from there; so memory does not grow with the benchmark, and none of its texts
+reaches the driver.
 
 Defined cases: a null or empty text has no words and no hits; an item without words
 has no window; items are told apart by item_id, a null item_id counts as the item
@@ -18,7 +20,6 @@ has no window; items are told apart by item_id, a null item_id counts as the ite
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import cut, slices, texts
+from lakeloom.llm.common import cut, filesystem, new_dir, slices, texts, with_sums
 
 WINDOW = 10
 PART_BYTES = 8 << 20
@@ -160,17 +161,28 @@ class Searcher:
         return [(int(n), hits.get(d, set()), items.get(d, set())) for d, n in enumerate(n_words)]
 
 
-def parts_of(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[str, str | None]]]:
-    """The items in parts of about ``PART_BYTES`` of text; the driver holds one at a time in tables."""
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    parts, size = [[]], 0
-    for r in rows.toLocalIterator():
-        if size > PART_BYTES:
-            parts.append([])
-            size = 0
-        parts[-1].append((r["item"], r["text"]))
-        size += len(r["text"] or "")
-    return parts
+def parts_of(benchmark: DataFrame, item_id: str, text: str) -> list[str]:
+    """Folders that hold the distinct items in parts of about ``PART_BYTES`` of text."""
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("text")).distinct()
+    sized = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    summed = with_sums(sized, [F.col("item"), F.col("text")], "size", "at", "before")
+    path = new_dir(benchmark.sparkSession, "benchmark")
+    dealt = summed.select("item", "text", F.floor(F.col("before") / PART_BYTES).alias("part"))
+    dealt.repartition("part").write.partitionBy("part").parquet(path)
+    schema = "item string, text string, part long"
+    numbers = benchmark.sparkSession.read.schema(schema).parquet(path).select("part").distinct()
+    return [f"{path}/part={k}" for k in sorted(r["part"] for r in numbers.collect())]
+
+
+def _items(part: str | None) -> list[tuple[str, str | None]]:
+    """The items in a part's folder; none if there is no part."""
+    if part is None:
+        return []
+    import pyarrow.dataset as ds
+
+    fs, root = filesystem(part)
+    table = ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=["item", "text"])
+    return list(zip(table.column("item").to_pylist(), table.column("text").to_pylist()))
 
 
 def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -183,7 +195,7 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     schema = T.StructType([*base.schema.fields, T.StructField("__hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
     parts = parts_of(benchmark, item_id, item_text)
     found = base.withColumn("__hits", F.array().cast("array<int>")).withColumn("items", F.array().cast("array<string>")).withColumn("n_words", F.lit(0).cast("long"))
-    for k, part in enumerate(parts):
+    for k, part in enumerate(parts or [None]):
         found = found.mapInArrow(_pass(part, window, text), schema)
         if k < len(parts) - 1:
             found = cut(found, "searched")
@@ -196,16 +208,16 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     )
 
 
-_searchers: dict[bytes, Searcher] = {}
+_searchers: dict[tuple[str | None, int], Searcher] = {}
 
 
-def _pass(part: list[tuple[str, str | None]], window: int, text: str):
-    mark = hashlib.sha256(repr((part, window)).encode()).digest()
+def _pass(part: str | None, window: int, text: str):
+    mark = (part, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _searchers:
             _searchers.clear()
-            _searchers[mark] = Searcher(part, window)
+            _searchers[mark] = Searcher(_items(part), window)
         searcher = _searchers[mark]
         for batch in batches:
             for piece in slices(batch, text):

@@ -429,3 +429,14 @@ def test_masked_lm_trains_on_every_word(spark):
     model = masked_lm.train(docs)
     good, bad = (masked_lm.score(spark.createDataFrame([(1, t, "en", "a", 1)], SCHEMA), model).first().log_prob for t in ("a b", "a d"))
     assert good > bad + 1
+
+
+def test_decontamination_keeps_the_benchmark_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 4000)
+    items = [(i, " ".join(f"q{i}x{k}" for k in range(12))) for i in range(200)]
+    benchmark = spark.createDataFrame(items * 2, "item_id long, text string")
+    parts = decontaminate.parts_of(benchmark, "item_id", "text")
+    held = [decontaminate._items(p) for p in parts]
+    assert len(parts) > 2 and all(isinstance(p, str) for p in parts)
+    assert sorted(x for h in held for x in h) == sorted((str(i), t) for i, t in items)
+    assert all(sum(len(t) for _, t in h) <= 4000 + 200 for h in held)
