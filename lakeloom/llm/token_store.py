@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import filesystem, new_dir, offsets, slices, texts
+from lakeloom.llm.common import TEMPORARY, filesystem, map_batches, new_dir, offsets, slices, sweep, texts
 
 MAGIC = b"LOOMIDS1"
 BLOCK_IDS = 1 << 16
@@ -161,7 +161,8 @@ class Encoder:
     recur far more often than texts. Pieces seen for the first time are encoded
     together; the last id of each is one of a word's end. Characters with any
     normalisation beyond lower case, and apostrophes, leave the chunk between two
-    spaces or line feeds whole.
+    spaces or line feeds whole. A text that holds one of the tokenizer's added
+    tokens, in any case, goes to the library as it is.
     """
 
     def __init__(self, vocabulary: str):
@@ -169,7 +170,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.I)
         self.known: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -208,7 +209,9 @@ class Encoder:
                 start = stop
 
     def encode(self, batch: list[str], end_id: int) -> list[np.ndarray]:
-        split = [self.pieces(t) for t in batch]
+        """The ids of each text, and the end id."""
+        marked = {k for k, t in enumerate(batch) if self.special.search(t)}
+        split = [([], set()) if k in marked else self.pieces(t) for k, t in enumerate(batch)]
         if len(self.known) > CACHE:  # what this batch has stays: frequent pieces come again
             used = set().union(*[found for found, _ in split])
             self.known = {p: self.known[p] for p in used & self.known.keys()}
@@ -219,7 +222,10 @@ class Encoder:
         for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
         end, get = struct.pack("<I", end_id), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, found)) + end, "<u4") for found, _ in split]
+        out = [np.frombuffer(b"".join(map(get, found)) + end, "<u4") for found, _ in split]
+        for k in marked:
+            out[k] = np.array([*self.tokenizer.encode(batch[k], add_special_tokens=False).ids, end_id], "<u4")
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,7 +239,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, d
         encoder, writer, n = Encoder.of(vocabulary), None, 0
         fs, root = filesystem(path)
         width = bits_for(encoder.tokenizer.get_vocab_size() - 1)
-        temporary = f"{root}/_temporary-{uuid.uuid4().hex}"
+        temporary = f"{root}/{TEMPORARY}{uuid.uuid4().hex}"
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
                 if writer is None:
@@ -251,11 +257,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, d
             fs.move(temporary, f"{root}/{name}")
             yield pa.RecordBatch.from_pylist([{"file_no": file_no, "name": name, "n_docs": n, "n_ids": writer.n_ids}], schema=pa.schema([("file_no", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    manifest = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "file_no int, name string, n_docs long, n_ids long")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("row").asc()]  # equal rows may part, too
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    manifest = map_batches(rows.repartitionByRange(*order).sortWithinPartitions(*order), write, "file_no int, name string, n_docs long, n_ids long")
     files = manifest.collect()  # a row for each file
     docs.sparkSession.createDataFrame(files, manifest.schema).coalesce(1).write.parquet(f"{path}/_manifest")
+    sweep(path)
     return docs.sparkSession.read.parquet(f"{path}/_manifest")
 
 
@@ -285,7 +292,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = manifest.join(F.broadcast(offsets(manifest, "file_no", "n_ids")), "file_no").select("name", "__before")
     size = manifest.agg(F.count("*").alias("files"), F.sum("n_ids").alias("ids")).first()
     tasks = min(size["files"], max(spark.sparkContext.defaultParallelism, (size["ids"] or 0) // READ_IDS))
-    return files.repartition(max(1, tasks)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(files.repartition(max(1, tasks)), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, language, masked_lm, mixing, queries, simhash, token_store, toxicity
+from lakeloom.llm import common, decontaminate, language, masked_lm, mixing, queries, simhash, token_store, toxicity
 from lakeloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -202,6 +202,28 @@ def test_mixing_meets_targets(spark, monkeypatch, leaf):
     assert sorted((r.doc_id or -1, r.text or "", r.taken) for r in again) == sorted((r.doc_id or -1, r.text or "", r.taken) for r in rows)
 
 
+@pytest.mark.parametrize("piece", [1 << 16, 7])
+def test_mixing_of_shared_and_missing_ids_agrees_in_reruns(spark, monkeypatch, piece):
+    monkeypatch.setattr(common, "NUMBERED", piece)
+    monkeypatch.setattr(mixing, "LEAF", 64)
+    rng = random.Random(8)
+    rows = [(rng.choice([1, None]), " ".join(word(rng) for _ in range(rng.randint(1, 9))), "en", rng.choice(["a", "b", None]), 1) for _ in range(600)]
+    rows += [(1, "one text", "en", "a", 1)] * 200 + [(None, None, None, None, None)] * 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    runs = [sorted(((r.doc_id or -1, r.text or "", r.source or "", r.taken) for r in mixing.mix(docs.repartition(k)).collect())) for k in (3, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    assert len({t for *_, x, _, t in ((i, x, s, t) for i, x, s, t in runs[0]) if x == "one text"}) > 1  # copies are rounded apart
+
+
+def test_numbered_tells_equal_rows_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "NUMBERED", 3)
+    rows = common.cut(spark.createDataFrame([(i, k) for i, k in enumerate([5] * 20 + [6, 7, 7])], "row long, key long"), "rows")
+    got = {}
+    for r in common.numbered(rows, "key", "row", "nth").collect():
+        got.setdefault(r.key, []).append(r.nth)
+    assert {k: sorted(v) for k, v in got.items()} == {5: list(range(20)), 6: [0], 7: [0, 1]}
+
+
 def test_pivot_keeps_mass_and_expectation():
     rng = random.Random(2)
     for _ in range(200):
@@ -252,7 +274,6 @@ def encodings(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
@@ -263,6 +284,7 @@ def test_encoder_matches_the_library():
     alphabet = "aZ é'sß1²ªº×İıΣς́  \tñÑ,.!|<>endoftext🙂漢字١\x1c\x85\x00"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(500)]
     texts += ["<|endoftext|> it's DON'T\r\nx", "", " ", "á ́b", "ΑΣ ΑΣ. ΣΑΣ"]
+    texts += ["a <|endoftext|> b", "a<|startoftext|><|endoftext|>b ", "<|EndOfText|> x", "<|endoftext |>", "<|endoftext|>" * 3, "Ünï <|startoftext|>\n" * 50]
     assert [x.tolist() for x in token_store.Encoder(vocabulary()).encode(texts, 2)] == encodings(texts)
 
 
