@@ -8,11 +8,12 @@ and HTTP headers, lengths and digests are made anew from url and payload. Of equ
 payloads of at least ``least`` bytes, the record with the smallest page_id is the
 response and the others are revisits without a body.
 
-A first pass keeps only ids, digests and compressed lengths, which decide types,
-order and files; the second sends each compressed record once to its page's
-decision and once to its file. A task streams its files under temporary names and
-renames them; the manifest (a Parquet table that Spark commits when every task has
-ended) names the files that count.
+A first pass keeps only ids, urls, digests and compressed lengths, which decide types,
+order and files; copies of one record have bytes, and so files, of their own. In the
+second pass each task knows a record's file from the files' first keys (a row for each
+file) and sends the body there once; decisions meet bodies in the file's task. It streams
+the file under a temporary name and renames it; the manifest (a Parquet table that Spark
+commits when every task has ended) names the files that count.
 
 Defined cases: a null html is an empty payload, a null url leaves out the target
 header, a null page_id sorts last and is null again when read; repeated rows are
@@ -27,13 +28,15 @@ import hashlib
 import urllib.parse
 import uuid
 import zlib
+from bisect import bisect
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, filesystem, new_dir, slices, with_sums
+from lakeloom.llm.common import TEMPORARY, cut, filesystem, map_batches, new_dir, slices, sweep, with_sums
 
 ROLL_BYTES = 64 << 20
 LEVEL = 6
@@ -41,6 +44,8 @@ LEVEL = 6
 DATE = "2000-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("9d6c3f80-58a5-5a54-9a0e-2f2f1c0f7a11")
 READ_BYTES = 1 << 20
+#: Payloads that a task remembers, so that it needn't send their later copies.
+SEEN = 1 << 16
 
 
 def gzip_member(data: bytes) -> bytes:
@@ -83,95 +88,178 @@ def _record(page_id: int | None, url: str | None, payload: bytes, of: str, lengt
 _SAFE = "!#$%&'()*+,/:;=?@[]~-._"
 
 
-def _packed(pages: DataFrame, whole: bool) -> DataFrame:
-    """(page_id, url_mark, sha1) and what decisions need (length, size, revisit), or with ``whole`` url, length and the compressed response.
+def _revisit(page_id: int | None, url: str | None, sha1: bytes, length: int, first_page: int | None, first_mark: int) -> bytes:
+    return _record(page_id, url, b"", base64.b32encode(sha1).decode(), length, (first_page, first_mark))
+
+
+class _Seen:
+    """Whether a task has had a payload with a smaller key, which then is no response; remembers the last ``SEEN``."""
+
+    def __init__(self):
+        self.least: OrderedDict[bytes, tuple] = OrderedDict()
+
+    def smaller(self, sha1: bytes, key: tuple) -> bool:
+        before = self.least.pop(sha1, None)
+        self.least[sha1] = key if before is None else min(before, key)
+        if len(self.least) > SEEN:
+            self.least.popitem(last=False)
+        return before is not None and before <= key
+
+
+def _key(page_id: int | None, url_mark: int, sha1: bytes) -> tuple:
+    """The place of a record in the order of all records; compares as Spark does."""
+    return page_id is None, page_id or 0, url_mark, sha1
 
-    ``size`` and ``revisit`` are the compressed lengths of the record as a response
-    and, with a response of the longest id and mark, as a revisit.
+
+def _sizes(pages: DataFrame, least: int) -> DataFrame:
+    """Per page what decisions need: ids, digest, length, and the compressed lengths as a response and as a revisit.
+
+    A revisit's is that with a response of the longest id and mark. A payload's later
+    copies in a task have no ``size``. Of payloads shorter than ``least``, which are all
+    responses, the compressed record itself goes along.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             for piece in slices(batch, "html"):
-                ids, urls = piece.column("page_id").to_pylist(), piece.column("url").to_pylist()
-                payloads = [b"" if h is None else h.encode() for h in piece.column("html").to_pylist()]
-                sums = [hashlib.sha1(p).digest() for p in payloads]
-                records = [_record(i, u, p, base64.b32encode(d).decode(), len(p), None) for i, u, p, d in zip(ids, urls, payloads, sums)]
-                columns = {"page_id": piece.column("page_id"), "url_mark": pa.array(map(mark, urls), pa.int64()), "sha1": pa.array(sums, pa.binary()), "length": pa.array(map(len, payloads), pa.int64())}
-                if whole:
-                    columns |= {"url": piece.column("url"), "record": pa.array(records, pa.binary())}
-                else:
-                    columns["size"] = pa.array(map(len, records), pa.int64())
-                    columns["revisit"] = pa.array([len(_revisit(i, u, d, len(p), None, -(1 << 63))) for i, u, p, d in zip(ids, urls, payloads, sums)], pa.int64())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    last = "url string, record binary" if whole else "size long, revisit long"
-    return pages.mapInArrow(run, f"page_id long, url_mark long, sha1 binary, length long, {last}")
-
+                out = []
+                for page_id, url, html in zip(*(piece.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                    payload = b"" if html is None else html.encode()
+                    sha1, url_mark, n = hashlib.sha1(payload).digest(), mark(url), len(payload)
+                    copy = n >= least and seen.smaller(sha1, _key(page_id, url_mark, sha1))
+                    record = None if copy else _record(page_id, url, payload, base64.b32encode(sha1).decode(), n, None)
+                    size = None if copy else len(record)
+                    out.append((page_id, url, url_mark, sha1, n, size, len(_revisit(page_id, url, sha1, n, None, -(1 << 63))), record if n < least else None))
+                names = ["page_id", "url", "url_mark", "sha1", "length", "size", "revisit", "small"]
+                types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return map_batches(pages, run, "page_id long, url string, url_mark long, sha1 binary, length long, size long, revisit long, small binary")
+
+
+def _bodies(pages: DataFrame, least: int, starts) -> DataFrame:
+    """(file_no, page_id, url_mark, sha1, record): each compressed response, of payloads of ``least`` bytes on.
+
+    ``starts`` is the broadcast list of the files' first keys and numbers. What a task
+    has had with a smaller key is no response and isn't sent.
+    """
 
-def _revisit(page_id: int | None, url: str | None, sha1: bytes, length: int, first_page: int | None, first_mark: int) -> bytes:
-    return _record(page_id, url, b"", base64.b32encode(sha1).decode(), length, (first_page, first_mark))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            for piece in slices(batch, "html"):
+                out = []
+                for page_id, url, html in zip(*(piece.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                    payload = b"" if html is None else html.encode()
+                    if len(payload) < least:
+                        continue
+                    sha1, url_mark = hashlib.sha1(payload).digest(), mark(url)
+                    key = _key(page_id, url_mark, sha1)
+                    if not seen.smaller(sha1, key):
+                        file_no = starts.value[bisect(starts.value, key, key=lambda s: s[0]) - 1][1]
+                        out.append((file_no, page_id, url_mark, sha1, _record(page_id, url, payload, base64.b32encode(sha1).decode(), len(payload), None)))
+                if out:
+                    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["file_no", "page_id", "url_mark", "sha1", "record"])
+
+    return map_batches(pages, run, "file_no int, page_id long, url_mark long, sha1 binary, record binary")
 
 
 def plan(pages: DataFrame, least: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Per distinct record (page_id, url_mark, sha1): whether payloads are shared, whether its first copy is a response, the response's page and mark, file_no and position."""
-    sizes = cut(_packed(pages, False).groupBy("page_id", "url_mark", "sha1", "length", "size", "revisit").agg(F.count("*").alias("n")), "sizes")
+    """Per distinct record (page_id, url, sha1) and file that holds some of its copies, what the writer needs.
+
+    ``head`` tells that its first copy lies in the file, ``copies`` how many further ones;
+    ``shared`` that payloads are shared, ``response`` that the first copy is the response.
+    """
+    sizes = cut(_sizes(pages, least).groupBy("page_id", "url", "url_mark", "sha1", "length", "revisit").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max("small").alias("record")), "sizes")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("url_mark").alias("mark"))
     several = sizes.where(F.col("length") >= least).groupBy("sha1").agg(F.min(order).alias("first"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
-    joined = sizes.join(several, "sha1", "left")
     shared = F.col("first").isNotNull()
     response = ~shared | (F.col("page_id").eqNullSafe(F.col("first.page")) & (F.col("url_mark") == F.col("first.mark")))
-    total = F.when(response, F.col("size")).otherwise(F.col("revisit")) + (F.col("n") - 1) * F.when(shared, F.col("revisit")).otherwise(F.col("size"))
-    decided = joined.select("page_id", "url_mark", "sha1", shared.alias("shared"), response.alias("response"), F.when(shared, F.col("first.page")).alias("first_page"), F.col("first.mark").alias("first_mark"), total.alias("total"))
-    summed = with_sums(decided, [F.col("page_id").asc_nulls_last(), F.col("url_mark").asc(), F.col("sha1").asc()], "total", "position", "before")
-    return summed.withColumn("file_no", F.floor(F.col("before") / roll_bytes)).drop("total", "before")
+    decided = sizes.join(several, "sha1", "left").select(
+        "page_id", "url", "url_mark", "sha1", "length", "n", "record", shared.alias("shared"), response.alias("response"), F.when(shared, F.col("first.page")).alias("first_page"), F.col("first.mark").alias("first_mark"),
+        F.when(response, F.col("size")).otherwise(F.col("revisit")).alias("one"), F.when(shared, F.col("revisit")).otherwise(F.col("size")).alias("more"),
+    )
+    total = F.col("one") + (F.col("n") - 1) * F.col("more")
+    summed = with_sums(decided.withColumn("total", total), [F.col("page_id").asc_nulls_last(), F.col("url_mark").asc(), F.col("sha1").asc()], "total", "position", "before")
+    roll, more_from = F.lit(roll_bytes), F.col("before") + F.col("one")
+    own = F.floor(F.col("before") / roll)
+    last = F.when(F.col("n") > 1, F.floor((more_from + (F.col("n") - 2) * F.col("more")) / roll)).otherwise(own)
+
+    def begun(file_no):
+        """How many of the further copies begin before a file."""
+        return F.least(F.greatest(F.ceil((file_no * roll - more_from) / F.col("more")), F.lit(0)), F.col("n") - 1)
+
+    spread = summed.withColumn("own", own).withColumn("file_no", F.explode(F.sequence("own", last)))
+    facts = ["page_id", "url", "url_mark", "sha1", "length", "shared", "response", "first_page", "first_mark", "record"]
+    return spread.select(F.col("file_no").cast("int").alias("file_no"), *facts, (F.col("file_no") == F.col("own")).alias("head"), (begun(F.col("file_no") + 1) - begun(F.col("file_no"))).cast("long").alias("copies"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0, roll_bytes: int = ROLL_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes the archives of ``pages`` to ``path``; returns the manifest: file_no, name, n_records, bytes, sha1."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     decisions = cut(plan(rows, least, roll_bytes), "plan")
-    facts = decisions.withColumnsRenamed({"page_id": "p", "url_mark": "u", "sha1": "d"})
-    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url_mark") == F.col("u")) & (F.col("sha1") == F.col("d"))
-    placed = _packed(rows, True).join(facts, same).drop("p", "u", "d", "url_mark")
-    slim = placed.withColumn("record", F.when(F.col("response"), F.col("record")))  # a revisit's body isn't sent; copies of a response are told apart when written
-    n_files = int(decisions.agg(F.max("file_no")).first()[0] or 0) + 1
-    manifest = slim.repartition(n_files, "file_no").sortWithinPartitions("file_no", "position").mapInArrow(_writer(path), "file_no long, name string, n_records long, bytes long, sha1 string")
+    key = F.struct(F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("page"), "url_mark", "sha1")
+    files = decisions.groupBy("file_no").agg(F.min(F.when(F.col("head"), key)).alias("start")).orderBy("file_no").collect()  # a row for each file
+    starts = [((r.start.none, r.start.page, r.start.url_mark, bytes(r.start.sha1)), r.file_no) for r in files if r.start is not None]
+    bodies = _bodies(rows, least, pages.sparkSession.sparkContext.broadcast(starts))
+    both = decisions.withColumn("kind", F.lit(0)).unionByName(bodies.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    n_files = files[-1].file_no + 1 if files else 1
+    dealt = both.repartitionById(n_files, "file_no").sortWithinPartitions(F.col("page_id").asc_nulls_last(), "url_mark", "sha1", "kind")
+    manifest = map_batches(dealt, _writer(path), "file_no int, name string, n_records long, bytes long, sha1 string")
     manifest.write.parquet(f"{path}/_manifest")
+    sweep(path)
     return pages.sparkSession.read.parquet(f"{path}/_manifest")
 
 
 def _writer(path: str):
+    """A task's rows are those of one file: each record's decision, then its body where it has one."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(path)
-        sink = at = hashed = temporary = None
-        n = size = 0
-        last = None
+        temporary = f"{root}/{TEMPORARY}{uuid.uuid4().hex}"
+        sink = file_no = waiting = None
+        n, size, hashed = 0, 0, hashlib.sha1()
 
-        def finished() -> pa.RecordBatch:
-            sink.close()
-            name = f"part-{at:08d}.warc.gz"
-            fs.move(temporary, f"{root}/{name}")
-            return pa.RecordBatch.from_pylist([{"file_no": at, "name": name, "n_records": n, "bytes": size, "sha1": hashed.hexdigest()}], schema=pa.schema([("file_no", pa.int64()), ("name", pa.string()), ("n_records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["file_no"] != at:
-                    if sink is not None:
-                        yield finished()
-                    fs.create_dir(root)
-                    at, n, size, hashed = r["file_no"], 0, 0, hashlib.sha1()
-                    temporary = f"{root}/_temporary-{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(temporary, compression=None)
-                copy, last = r["position"] == last, r["position"]
-                data = r["record"]
-                if r["shared"] and (copy or not r["response"]):
-                    data = _revisit(r["page_id"], r["url"], r["sha1"], r["length"], r["first_page"], r["first_mark"])
+        def add(data: bytes, times: int = 1) -> None:
+            nonlocal n, size
+            for _ in range(times):
                 sink.write(data)
                 hashed.update(data)
-                n, size = n + 1, size + len(data)
+            n, size = n + times, size + times * len(data)
+
+        def copies(r: dict, data: bytes | None) -> None:
+            if r["copies"]:
+                add(_revisit(r["page_id"], r["url"], r["sha1"], r["length"], r["first_page"], r["first_mark"]) if r["shared"] else data, r["copies"])
+
+        for batch in batches:
+            for piece in slices(batch, "record"):
+                for r in piece.to_pylist():
+                    if sink is None:
+                        fs.create_dir(root)
+                        file_no, sink = r["file_no"], fs.open_output_stream(temporary, compression=None)
+                    same = waiting and (waiting["page_id"], waiting["url_mark"], waiting["sha1"]) == (r["page_id"], r["url_mark"], r["sha1"])
+                    if r["kind"]:
+                        if same:
+                            add(r["record"])
+                            copies(waiting, r["record"])
+                            waiting = None
+                    elif waiting:
+                        raise ValueError(f"page {waiting['page_id']} has no body")
+                    elif r["head"] and r["response"] and r["record"] is None:
+                        waiting = r
+                    else:
+                        if r["head"]:
+                            add(r["record"] if r["response"] else _revisit(r["page_id"], r["url"], r["sha1"], r["length"], r["first_page"], r["first_mark"]))
+                        copies(r, r["record"])
+        if waiting:
+            raise ValueError(f"page {waiting['page_id']} has no body")
         if sink is not None:
-            yield finished()
+            sink.close()
+            name = f"part-{file_no:08d}.warc.gz"
+            fs.move(temporary, f"{root}/{name}")
+            yield pa.RecordBatch.from_pylist([{"file_no": file_no, "name": name, "n_records": n, "bytes": size, "sha1": hashed.hexdigest()}], schema=pa.schema([("file_no", pa.int32()), ("name", pa.string()), ("n_records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
     return write
 
@@ -220,7 +308,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     manifest = spark.read.parquet(f"{path}/_manifest")
     files = manifest.select("name").repartition(max(1, manifest.count()))
-    return files.mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    return map_batches(files, read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
