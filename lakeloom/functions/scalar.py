@@ -67,7 +67,7 @@ def left(x: Column, n: int) -> Column:
 
 def right(x: Column, n: int) -> Column:
     """The last n characters; a negative n leaves out the first -n."""
-    return F.substr(x, F.lit(1 - n)) if n < 0 else (F.right(x, F.lit(n)) if n else F.lit(""))
+    return F.substr(x, F.lit(1 - n)) if n < 0 else F.right(x, F.lit(n))
 
 
 def substr(x: Column, start: int, length: int | None = None) -> Column:

@@ -69,22 +69,39 @@ def full_refresh(source: DataFrame, time_column: str | None = None, window: time
     return source.where(after(source, time_column, now - window, time_format))
 
 
+def later(df: DataFrame, time_column: str, micros: int, form: str) -> Column:
+    """The predicate that a time column is later than ``micros``; it compares the bare column, so it reaches the scan.
+
+    Text (ISO8601) has to be parsed first and can't be pushed down.
+    """
+    kind = df.schema[time_column].dataType
+    if form == "ISO8601":
+        return as_micros(F.col(time_column), form) > micros
+    if form in ("unix_seconds", "unix_millis"):
+        per = 1_000_000 if form == "unix_seconds" else 1_000
+        whole = isinstance(kind, T.IntegralType)
+        return F.col(time_column) > F.lit(micros // per if whole else micros / per)  # a whole number is above a bound if it is above its floor
+    return F.col(time_column) > F.timestamp_micros(F.lit(micros)).cast(kind)
+
+
 def append_refresh(source: DataFrame, existing: DataFrame, time_column: str, overlap: timedelta = timedelta(0), time_format: str | None = None) -> DataFrame:
     """The rows to append: later than the latest existing time less ``overlap``, and not yet there.
 
-    The latest time is one aggregate; existing rows of the window are taken out by
-    a null-safe comparison of all columns. The anti-join is hashed on all of them.
+    The latest time is one aggregate of the bare column; both sides are filtered by it
+    in their scans. Existing rows of the window are taken out by a null-safe comparison
+    of all columns. The anti-join is hashed on all of them.
     """
     form = check_time_format(source.schema[time_column].dataType, time_format)
-    latest = existing.agg(F.max(as_micros(F.col(time_column), form)).alias("t")).first()["t"]
+    top = F.max(as_micros(F.col(time_column), form)) if form == "ISO8601" else as_micros(F.max(time_column), form)
+    latest = existing.agg(top.alias("t")).first()["t"]
     if latest is None:
         return source
     since = latest - int(overlap.total_seconds() * 1_000_000)
     # Only in seconds or milliseconds is the source coarser than the microseconds compared.
-    fresh = source.where(as_micros(F.col(time_column), form) > since)
+    fresh = source.where(later(source, time_column, since, form))
     if not overlap:
         return fresh
-    return new_rows(fresh, existing.where(as_micros(F.col(time_column), form) > since))
+    return new_rows(fresh, existing.where(later(existing, time_column, since, form)))
 
 
 def new_rows(fresh: DataFrame, existing: DataFrame) -> DataFrame:
@@ -129,10 +146,24 @@ def last_of_key(df: DataFrame, key: list[str], sequence: str) -> DataFrame:
     return best.select(*key, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def resolve_conflicts(existing: DataFrame, new: DataFrame, targets: dict[tuple[str, ...], str], keys: list[tuple[str, ...]] | None = None) -> DataFrame:
-    """``existing`` with ``new`` rows: upsert replaces rows of equal key, drop keeps them."""
+def once_a_key(new: DataFrame, key: list[str], sequence: str | None = None) -> DataFrame:
+    """One row of each key, that with the largest ``sequence`` if one is named; keys with a null are never equal."""
+    whole = F.lit(True)
+    for k in key:
+        whole &= F.col(k).isNotNull()
+    full = new.where(whole)
+    return (last_of_key(full, key, sequence) if sequence else full.dropDuplicates(key)).unionByName(new.where(~whole))
+
+
+def resolve_conflicts(existing: DataFrame, new: DataFrame, targets: dict[tuple[str, ...], str], keys: list[tuple[str, ...]] | None = None, sequence: str | None = None) -> DataFrame:
+    """``existing`` with ``new`` rows: upsert replaces rows of equal key, drop keeps them.
+
+    Of new rows that share a key one counts: the one with the largest ``sequence``,
+    or any if none is named.
+    """
     check_conflicts(targets, keys or list(targets))
     for target, how in targets.items():
+        new = once_a_key(new, list(target), sequence)
         if how == "upsert":
             return existing.join(new.select(*target), list(target), "left_anti").select(*existing.columns).unionByName(new)
         new = new.join(existing.select(*target), list(target), "left_anti").select(*new.columns)

@@ -23,12 +23,12 @@ def waits(most: int | None = None, longest: float = 300.0) -> Iterator[float]:
         a, b, n = b, a + b, n + 1
 
 
-def with_retry(action: Callable[[], R], most: int = 3, sleep: Callable[[float], None] = time.sleep) -> R:
+def with_retry(action: Callable[[], R], most: int = 3, sleep: Callable[[float], None] = time.sleep, permanent: tuple[type[Exception], ...] = (Permanent,)) -> R:
     """The action's result; transient failures are retried ``most`` times, permanent ones raised at once."""
     for wait in waits(most):
         try:
             return action()
-        except Permanent:
+        except permanent:
             raise
         except Exception:
             sleep(wait)

@@ -28,11 +28,29 @@ def sample_first(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
+def order_terms(order_by: str) -> list[str]:
+    """The terms of an order, parted at commas outside of parentheses and quotes."""
+    terms, depth, quote = [""], 0, ""
+    for c in re.sub(r"^\s*order\s+by\s+", "", order_by, flags=re.I):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        else:
+            depth += (c in "([") - (c in ")]")
+        if c == "," and not depth and not quote:
+            terms.append("")
+        else:
+            terms[-1] += c
+    return terms
+
+
 def sample_top(df: DataFrame, order_by: str, n: int) -> DataFrame:
-    """The first ``n`` rows by a list of SQL expressions with optional ASC or DESC; nulls are last, with DESC first."""
+    """The first ``n`` rows by a list of SQL expressions with optional ASC or DESC and NULLS FIRST or LAST; nulls are last, with DESC first."""
     order = []
-    for part in re.sub(r"^\s*order\s+by\s+", "", order_by, flags=re.I).split(","):
-        m = re.fullmatch(r"\s*(.+?)(?:\s+(asc|desc))?\s*", part, re.I | re.S)
-        column = F.expr(m[1])
-        order.append(column.desc_nulls_first() if (m[2] or "").lower() == "desc" else column.asc_nulls_last())
+    for term in order_terms(order_by):
+        m = re.fullmatch(r"\s*(.+?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?\s*", term, re.I | re.S)
+        column, down = F.expr(m[1]), (m[2] or "").lower() == "desc"
+        first = m[3].lower() == "first" if m[3] else down
+        order.append((column.desc_nulls_first() if first else column.desc_nulls_last()) if down else (column.asc_nulls_first() if first else column.asc_nulls_last()))
     return df.orderBy(*order).limit(n)

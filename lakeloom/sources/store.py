@@ -24,7 +24,7 @@ class Store:
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.schema("version long, folders array<string>, rows long, updated_at timestamp").parquet(f"{self.path}/_pointers/*")
+            return self.spark.read.schema("version long, folders array<string>, rows long, updated_at timestamp, batch string").parquet(f"{self.path}/_pointers/*")
         except AnalysisException:
             return None
 
@@ -40,8 +40,13 @@ class Store:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(*[f"{self.path}/{f}" for f in now["folders"]])
 
-    def _commit(self, folders: list[str], version: int, rows: int) -> None:
-        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.array(*map(F.lit, folders)).alias("folders"), F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("updated_at"))
+    def has(self, batch: str) -> bool:
+        """Whether a version was committed for this batch of a stream."""
+        pointers = self._pointers()
+        return pointers is not None and not pointers.where(F.col("batch") == batch).isEmpty()
+
+    def _commit(self, folders: list[str], version: int, rows: int, batch: str | None) -> None:
+        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.array(*map(F.lit, folders)).alias("folders"), F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("updated_at"), F.lit(batch).cast("string").alias("batch"))
         row.coalesce(1).write.parquet(f"{self.path}/_pointers/v{version:012d}")
 
     def _write(self, df: DataFrame) -> str:
@@ -49,19 +54,21 @@ class Store:
         df.write.parquet(f"{self.path}/{folder}")
         return folder
 
-    def overwrite(self, df: DataFrame) -> int:
+    def overwrite(self, df: DataFrame, batch: str | None = None) -> int:
         """A new version with these rows alone; returns their number."""
         now, folder = self.latest(), self._write(df)
         n = self.spark.read.parquet(f"{self.path}/{folder}").count()
-        self._commit([folder], (now["version"] if now else 0) + 1, n)
+        self._commit([folder], (now["version"] if now else 0) + 1, n, batch)
         return n
 
-    def append(self, df: DataFrame) -> int:
-        """A new version with these rows added; nothing old is rewritten."""
+    def append(self, df: DataFrame, batch: str | None = None) -> int:
+        """A new version with these rows added; nothing old is rewritten. A named batch is added once, however often it is given."""
+        if batch is not None and self.has(batch):
+            return 0
         now = self.latest()
         if now is None:
-            return self.overwrite(df)
+            return self.overwrite(df, batch)
         folder = self._write(df)
         n = self.spark.read.parquet(f"{self.path}/{folder}").count()
-        self._commit([*now["folders"], folder], now["version"] + 1, now["rows"] + n)
+        self._commit([*now["folders"], folder], now["version"] + 1, now["rows"] + n, batch)
         return n

@@ -32,8 +32,11 @@ def _per_batch(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, i
 
 
 def append_stream(stream: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends each batch as a version of the table."""
-    return _per_batch(stream, checkpoint, lambda batch, _: store.append(batch) and None, once)
+    """Appends each batch as a version of the table.
+
+    The version names its batch (by checkpoint and number), so one that is run again after a failure adds nothing.
+    """
+    return _per_batch(stream, checkpoint, lambda batch, number: store.append(batch, f"{checkpoint}#{number}") and None, once)
 
 
 def changes_stream(stream: DataFrame, store: Store, table: T.StructType, key: list[str], checkpoint: str, sequence: str = "seq", once: bool = True) -> StreamingQuery:
