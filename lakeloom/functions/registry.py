@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from lakeloom.functions import scalar as S
 from lakeloom.functions.vectors import array_distance, cosine_distance
 
+#: Advertised functions that mean the same in Spark.
 _SAME = (
-    "abs acos asin atan atan2 cos exp ln log10 log2 pow power round signum sin sqrt tan ascii bit_length btrim char_length character_length concat_ws "
-    "length lower lpad ltrim md5 octet_length repeat replace reverse rpad rtrim split_part translate trim upper "
-    "current_date current_time date_part date_trunc datepart now to_timestamp array struct greatest least coalesce nullif array_contains"
-).split()
+    "abs", "acos", "asin", "atan", "atan2", "cos", "exp", "ln", "log10", "log2", "pow", "power", "round", "signum", "sin", "sqrt", "tan",
+    "ascii", "bit_length", "btrim", "char_length", "character_length", "concat_ws", "length", "lower", "lpad", "ltrim", "md5", "octet_length",
+    "repeat", "replace", "reverse", "rpad", "rtrim", "split_part", "translate", "trim", "upper",
+    "current_date", "current_time", "date_part", "date_trunc", "datepart", "now", "to_timestamp",
+    "array", "struct", "greatest", "least", "coalesce", "nullif", "array_contains",
+)
 
 FUNCTIONS: dict[str, Callable[..., Column]] = {name: getattr(F, name) for name in _SAME} | {
     "ceil": S.ceil,

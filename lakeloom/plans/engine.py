@@ -5,23 +5,28 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.functions import sql_names
 from lakeloom.operators import refresh as ops
 from lakeloom.operators.changes import apply_changes
+from lakeloom.operators.retry import Permanent, with_retry
 from lakeloom.sources.readers import listing, read_files
+from lakeloom.sources.scratch import new_dir
 from lakeloom.sources.store import Store
 
 #: Statements that only read.
 READS = ("select", "with", "values", "table", "from", "explain", "describe", "desc", "show", "(")
 UNCACHED = ("explain", "describe", "desc", "show")
 HISTORY_KEPT, METRICS_KEPT = timedelta(hours=8), timedelta(minutes=30)
+#: Entries of the history, and of the metrics, that the driver holds at most.
+EVENTS_KEPT = 10_000
 
 
 @dataclass
@@ -38,6 +43,7 @@ class Acceleration:
     unique: list[list[str]] = field(default_factory=list)
     on_conflict: dict[tuple[str, ...], str] = field(default_factory=dict)
     on_zero_results: str = "return_empty"  # or use_source
+    retries: int = 3
 
 
 @dataclass
@@ -60,49 +66,81 @@ class ReadOnly(ValueError):
     """The statement would change something."""
 
 
+#: Comments, quoted texts (with doubled or escaped quotes) and quoted names, whichever begins first.
+_QUOTED = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`", re.S)
+
+
+def _bare(sql: str) -> str:
+    """The statement without comments, and with empty quotes."""
+    return _QUOTED.sub(lambda m: " " if m[0][:2] in ("--", "/*") else "''", sql).strip().rstrip(";").strip()
+
+
 def check_read_only(sql: str) -> str:
     """The statement's first word; an error unless it is one statement that only reads."""
-    text = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";").strip()
-    quoted = re.sub(r"'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"", "''", text)
+    text = _bare(sql)
     first = "(" if text.startswith("(") else (re.match(r"\w+", text) or [""])[0].lower()
-    if ";" in quoted or first not in READS:
+    if ";" in text or first not in READS:
         raise ReadOnly("only one reading statement is allowed; write through Engine.write")
-    if first in ("with", "from", "explain") and re.search(r"\b(insert\s+(into|overwrite)|delete\s+from|update\s+\w+\s+set|merge\s+into|create\s|drop\s|alter\s)", quoted, re.I):
+    if first in ("with", "from", "explain") and re.search(r"\b(insert\s+(into|overwrite)|delete\s+from|update\s+\w+\s+set|merge\s+into|create\s|drop\s|alter\s)", text, re.I):
         raise ReadOnly("only reading statements are allowed; write through Engine.write")
     return first
 
 
+#: What the parsed plan of a refresh statement may consist of.
+REFRESH_NODES = ("Project", "Filter", "Sort", "GlobalLimit", "LocalLimit", "UnresolvedRelation")
+
+
 def check_refresh_sql(sql: str, table: str) -> None:
-    """A refresh statement selects all columns of its own table alone; filters, order and limit may follow."""
+    """A refresh statement selects all columns of its own table alone; filters, order and limit may follow.
+
+    What counts is Spark's parsed plan: one relation, nothing but filters, order and
+    limits above it, no subqueries, and all columns.
+    """
+    wrong = ValueError(f"a refresh statement must be SELECT * FROM {table} with optional WHERE, ORDER BY and LIMIT")
     text = sql.strip().rstrip(";")
-    if not re.fullmatch(rf"select\s+\*\s+from\s+[`\"]?{re.escape(table)}[`\"]?(\s+(where|order\s+by|limit)\b.*)?", text, re.I | re.S) or re.search(r"\b(join|union|group\s+by|having)\b", re.sub(r"'[^']*'", "", text), re.I):
-        raise ValueError(f"a refresh statement must be SELECT * FROM {table} with optional WHERE, ORDER BY and LIMIT")
+    if not re.match(r"select\b", text, re.I):
+        raise wrong
+    try:
+        plan = SparkSession.active().sql(f"EXPLAIN EXTENDED {text}").first()[0]
+    except ParseException as e:
+        raise wrong from e
+    parsed = plan.split("== Analyzed Logical Plan ==")[0].split("\n")[1:]
+    nodes = [m for line in parsed if (m := re.match(r"[ :]*(?:\+- )?'?(\w+)(.*)", line))]
+    relations = [m[2] for m in nodes if m[1] == "UnresolvedRelation"]
+    whole = [m[2].strip() for m in nodes if m[1] == "Project"]
+    if any(m[1] not in REFRESH_NODES for m in nodes) or len(relations) != 1 or whole != ["[*]"] or not re.match(rf"\s*\[{re.escape(table)}\]", relations[0]) or re.search(r"subquery|exists#|IN \(list#|outer\(", "\n".join(parsed)):
+        raise wrong
 
 
 class ResultsCache:
-    """Finished results by analysed plan and the versions of the tables in it: least recently used go first."""
+    """Finished results as tables in the shared folder, by plan and the versions of the tables in it.
+
+    Least recently used go first. A result is written by Spark and never passes the
+    driver; one that is larger than the cache is kept for its reader alone.
+    """
 
     def __init__(self, max_bytes: int = 128 << 20, ttl: float = 1.0):
         self.max_bytes, self.ttl, self.entries, self.size = max_bytes, ttl, OrderedDict(), 0
 
-    def get(self, key) -> pa.Table | None:
-        at, table = self.entries.get(key, (0.0, None))
-        if table is None or time.monotonic() - at > self.ttl:
+    def get(self, key, df: DataFrame) -> DataFrame | None:
+        """The fresh result of the same plan: equal keys are compared in full."""
+        at, asked, found, _ = self.entries.get(key, (0.0, None, None, 0))
+        if found is None or time.monotonic() - at > self.ttl or not asked.sameSemantics(df):
             self.drop(key)
             return None
         self.entries.move_to_end(key)
-        return table
+        return found
 
     def drop(self, key) -> None:
         if key in self.entries:
-            self.size -= self.entries.pop(key)[1].nbytes
+            self.size -= self.entries.pop(key)[3]
 
-    def put(self, key, table: pa.Table) -> None:
+    def put(self, key, asked: DataFrame, found: DataFrame, size: int) -> None:
         self.drop(key)
-        if table.nbytes > self.max_bytes:
+        if size > self.max_bytes:
             return
-        self.entries[key] = (time.monotonic(), table)
-        self.size += table.nbytes
+        self.entries[key] = (time.monotonic(), asked, found, size)
+        self.size += size
         while self.size > self.max_bytes:
             self.drop(next(iter(self.entries)))
 
@@ -116,11 +154,12 @@ class Engine:
 
     def __init__(self, spark: SparkSession, cache: ResultsCache | None = None):
         self.spark, self.cache = spark, cache or ResultsCache()
+        sql_names.register(spark)
         self.specs: dict[str, DatasetSpec] = {}
         self.versions: dict[str, int] = {}
         self.views: dict[str, str] = {}
-        self.history: list[tuple] = []
-        self.metrics: list[tuple] = []
+        self.history: deque[tuple] = deque(maxlen=EVENTS_KEPT)
+        self.metrics: deque[tuple] = deque(maxlen=EVENTS_KEPT)
 
     # ---- datasets and views
 
@@ -185,12 +224,25 @@ class Engine:
     # ---- queries
 
     def sql(self, text: str) -> DataFrame:
-        """Runs one reading statement lazily."""
+        """Runs one reading statement lazily.
+
+        It is Spark's SQL, with the functions of :mod:`lakeloom.functions.sql_names`. System tables may be named as runtime.*, metadata.* and information_schema.*.
+        If a dataset in it falls back to its source and the kept rows give no result
+        row, the statement reads the sources of such datasets instead.
+        """
         started = datetime.now(UTC)
+        error = None
         try:
             check_read_only(text)
+            text = self._named(text)
             df = self.spark.sql(text)
-            error = None
+            fallback = [n for n, s in self.specs.items() if s.acceleration and s.acceleration.on_zero_results == "use_source" and re.search(rf"\b{re.escape(n)}\b", _bare(text))]
+            if fallback and df.isEmpty():
+                for name in fallback:
+                    self.source(self.specs[name]).createOrReplaceTempView(name)
+                df = self.spark.sql(text)
+                for name in fallback:
+                    self.table(name).createOrReplaceTempView(name)
             return df
         except Exception as e:
             error = type(e).__name__
@@ -198,18 +250,31 @@ class Engine:
         finally:
             self.history.append((uuid.uuid4().hex, "sql_query", text, started, datetime.now(UTC), error))
 
-    def fetch(self, text: str) -> pa.Table:
-        """The statement's result, from the cache while it is fresh and no table in it has changed."""
+    def _named(self, text: str) -> str:
+        """Functions and system tables under the names that they have in the session; system tables are published if one is named."""
+        kept: list[str] = []
+        bare = _QUOTED.sub(lambda m: kept.append(m[0]) or f"\0{len(kept) - 1}\0", text)
+        called = sql_names.in_sql(bare)
+        named = re.sub(r"\b(runtime|metadata|information_schema)\.(\w+)", r"\1_\2", called, flags=re.I)
+        if named != called:
+            self.system_tables()
+        return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], named)
+
+    def fetch(self, text: str) -> DataFrame:
+        """The statement's finished result, from the cache while it is fresh and no table in it has changed."""
         first = check_read_only(text)
         df = self.sql(text)
-        if first in UNCACHED or re.search(r"\b(runtime_|metadata_|information_schema)", text):
-            return df.toArrow()
+        if first in UNCACHED or re.search(r"\b(runtime|metadata|information_schema)[_.]", text):
+            return df
         used = tuple(sorted((t, v) for t, v in self.versions.items() if re.search(rf"\b{re.escape(t)}\b", text + " ".join(s for n, s in self.views.items() if n in text))))
         key = (df.semanticHash(), used)
-        found = self.cache.get(key)
+        found = self.cache.get(key, df)
         if found is None:
-            found = df.toArrow()
-            self.cache.put(key, found)
+            path = new_dir(self.spark, "result")
+            df.write.parquet(path)
+            found = self.spark.read.schema(df.schema).parquet(path)
+            size = listing(self.spark, path).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            self.cache.put(key, df, found, size)
         return found
 
     # ---- changes
@@ -235,8 +300,9 @@ class Engine:
                 n = store.append(df)
             df.unpersist()
         else:
-            n = df.count()
-            df.write.mode(mode).format(spec.file_format or "parquet").save(spec.source)
+            written = Observation()
+            df.observe(written, F.count(F.lit(1)).alias("n")).write.mode(mode).format(spec.file_format or "parquet").save(spec.source)
+            n = written.get["n"]
         self._publish(name)
         return n
 
@@ -249,10 +315,17 @@ class Engine:
         return self.spark.createDataFrame([(n,)], "count long")
 
     def refresh(self, name: str, mode: str | None = None, sql: str | None = None, now: datetime | None = None) -> int:
-        """Refreshes a kept dataset; mode and statement may be given for this time alone."""
+        """Refreshes a kept dataset; mode and statement may be given for this time alone.
+
+        Transient failures are retried as often as the dataset says, those of the statement or settings are not.
+        """
         spec = self.specs[name]
         if spec.acceleration is None:
             raise ValueError(f"{name} isn't accelerated")
+        return with_retry(lambda: self._refresh(name, mode, sql, now), spec.acceleration.retries, permanent=(Permanent, ValueError, AnalysisException))
+
+    def _refresh(self, name: str, mode: str | None, sql: str | None, now: datetime | None) -> int:
+        spec = self.specs[name]
         acc, store = spec.acceleration, Store(self.spark, spec.acceleration.path)
         now, source = now or datetime.now(UTC), self.source(spec)
         statement = sql or acc.refresh_sql
@@ -300,7 +373,7 @@ class Engine:
     # ---- system tables
 
     def system_tables(self, now: datetime | None = None) -> None:
-        """Publishes runtime_task_history, runtime_metrics and runtime_datasets, without what is past their retention."""
+        """Publishes runtime_task_history, runtime_metrics, runtime_datasets and information_schema_tables and _columns, without what is past its retention."""
         now = now or datetime.now(UTC)
         spans = [h for h in self.history if h[4] >= now - HISTORY_KEPT]
         values = [m for m in self.metrics if m[1] >= now - METRICS_KEPT]
@@ -309,6 +382,10 @@ class Engine:
         create(values, "name string, time timestamp, dataset string, value double").createOrReplaceTempView("runtime_metrics")
         rows = [(n, s.source if isinstance(s.source, str) else "dataframe", s.acceleration is not None, s.mode) for n, s in self.specs.items()]
         create(rows, "name string, source string, accelerated boolean, mode string").createOrReplaceTempView("runtime_datasets")
+        listed = self.tables()
+        listed.createOrReplaceTempView("information_schema_tables")
+        columns = [(r.table_schema, r.table_name, f.name, k + 1, f.dataType.simpleString(), "YES" if f.nullable else "NO") for r in listed.collect() for k, f in enumerate(self.spark.table(r.table_name).schema.fields)]
+        create(columns, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string").createOrReplaceTempView("information_schema_columns")
 
     def table_schema(self, name: str) -> str:
         """The table as a CREATE TABLE text."""
@@ -318,7 +395,7 @@ class Engine:
         """Catalog, schema, name and type of every table: datasets are ``public``, system tables ``runtime``, listings ``metadata``."""
         rows = []
         for t in self.spark.catalog.listTables():
-            kind = next((k for k in ("runtime", "metadata") if t.name.startswith(f"{k}_")), "public")
+            kind = next((k for k in ("runtime", "metadata", "information_schema") if t.name.startswith(f"{k}_")), "public")
             if t.name in self.specs or t.name in self.views or kind != "public":
                 rows.append(("lakeloom", kind, t.name, "VIEW" if t.name in self.views else "BASE TABLE"))
         found = self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, table_type string")

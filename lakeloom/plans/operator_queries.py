@@ -92,11 +92,11 @@ def fn_time_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("SELECT p_partkey, 32 AS uuid_length_without_dashes, true AS in_range, 'Int64' AS kind, 'Economy' AS capital, true AS today FROM part WHERE p_type = 'ECONOMY'")
+@register("SELECT p_partkey, 32 AS uuid_length_without_dashes, true AS in_range, 'Int64' AS kind, 'Utf8' AS text_kind, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS capital, true AS today FROM part")
 def fn_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions whose values change from run to run, by what stays; names of types; capitals."""
     r = call("random")
-    return table(spark, sf_dir, "part").where("p_type = 'ECONOMY'").select("p_partkey", F.length(F.replace(call("uuid"), F.lit("-"), F.lit(""))).alias("uuid_length_without_dashes"), ((r >= 0) & (r < 1)).alias("in_range"), call("arrow_typeof", F.col("p_partkey")).alias("kind"), call("initcap", F.col("p_type")).alias("capital"), (call("current_date") <= F.to_date(call("now"))).alias("today"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.length(F.replace(call("uuid"), F.lit("-"), F.lit(""))).alias("uuid_length_without_dashes"), ((r >= 0) & (r < 1)).alias("in_range"), call("arrow_typeof", F.col("p_partkey")).alias("kind"), call("arrow_typeof", F.col("p_name")).alias("text_kind"), call("initcap", F.col("p_type")).alias("capital"), (call("current_date") <= F.to_date(call("now"))).alias("today"))
 
 
 # ---- vectors
@@ -145,9 +145,11 @@ def sample_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_top(table(spark, sf_dir, "part"), "ORDER BY p_size DESC, p_partkey", 12).select("p_partkey", "p_size", "p_name")
 
 
-@register("SELECT CAST(least(count(*), 7) AS BIGINT) AS n FROM part")
+@register("SELECT CAST(count(*) AS BIGINT) AS rows_of_the_table FROM (SELECT * FROM part LIMIT 7)")
 def sample_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample_first(table(spark, sf_dir, "part"), 7).agg(F.count("*").alias("n"))
+    """Any seven rows; how many of them are rows of the table."""
+    part = table(spark, sf_dir, "part")
+    return sampling.sample_first(part, 7).intersect(part).agg(F.count("*").alias("rows_of_the_table"))
 
 
 # ---- materialization
@@ -209,9 +211,11 @@ def mat_schema_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.cast_to(table(spark, sf_dir, "part"), wanted)
 
 
-@register("SELECT count(*) AS count FROM orders WHERE o_totalprice < 50000")
+@register("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_totalprice < 50000) AS deleted FROM orders WHERE (o_totalprice < 50000) IS NOT TRUE")
 def mat_delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refresh.delete_where(table(spark, sf_dir, "orders"), "o_totalprice < 50000")[1]
+    """The rows that a delete leaves, and how many it took."""
+    left, count = refresh.delete_where(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice < 50000")
+    return left.crossJoin(F.broadcast(count.withColumnRenamed("count", "deleted")))
 
 
 @register("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 = 1")
@@ -320,7 +324,7 @@ def unnest_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT doc_id, CAST(unnest(range(1, len(w) + 1)) AS INT) AS nth, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def arrays_unnest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every document with its place; ``arrays_unnest`` has five words of the first ids."""
+    """Every word of every document with its place, by DataFrame functions (``arrays_unnest``: in SQL)."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     return words.select("doc_id", (F.col("pos") + 1).alias("nth"), "word")
 
@@ -329,7 +333,7 @@ def arrays_unnest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_hive_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder with one folder a brand, its key read back as text."""
     path = new_dir(spark, "hive")
-    table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").repartition(1).write.partitionBy("p_brand").parquet(path)
+    table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").repartition(F.col("p_brand"), F.pmod("p_partkey", F.lit(8))).write.partitionBy("p_brand").parquet(path)
     return read_files(spark, path, "parquet", hive_partitions=True).select("p_partkey", "p_name", "p_brand")
 
 
@@ -340,11 +344,14 @@ def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(spark, path, "csv").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_acctbal")
 
 
-@register("SELECT CAST(1 AS BIGINT) AS files, true AS sized")
+@register("SELECT p_brand, count(*) AS rows_inside, CAST(1 AS BIGINT) AS files, true AS sized FROM part GROUP BY p_brand")
 def src_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_dir(spark, "files")
-    table(spark, sf_dir, "region").coalesce(1).write.parquet(path)
-    return listing(spark, path).agg(F.count("*").alias("files"), (F.min("size") > 0).alias("sized"))
+    """The listing of a folder with one CSV file a brand, beside the rows in it."""
+    path, part = new_dir(spark, "files"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    part.repartition("p_brand").write.partitionBy("p_brand").csv(path)
+    listed = listing(spark, path).where(F.col("location").endswith(".csv")).select(F.url_decode(F.regexp_extract("location", "p_brand=([^/]+)", 1)).alias("p_brand"), "size")
+    files = listed.groupBy("p_brand").agg(F.count("*").alias("files"), F.min("size").alias("least"))
+    return part.groupBy("p_brand").agg(F.count("*").alias("rows_inside"), F.sum(F.length(F.col("p_partkey").cast("string")) + 1).alias("bytes")).join(files, "p_brand").select("p_brand", "rows_inside", "files", (F.col("least") == F.col("bytes")).alias("sized"))
 
 
 @register("SELECT n_regionkey, count(*) AS nations, sum(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS even FROM nation GROUP BY n_regionkey")
@@ -356,6 +363,44 @@ def engine_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT n_regionkey, nations, even FROM engine_top")
 
 
+@register(r"""
+    SELECT p_partkey, CAST(strpos(p_name, 'i') AS INT) AS at_i, starts_with(p_type, 'PROMO') AS promo, lower(to_hex(p_size)) AS hexed, sha256(p_name) AS s256, 56 AS l224, 96 AS l384, 128 AS l512, sha256(p_name) AS digested,
+           round(log10(p_size), 8) AS log_ten, round(log2(p_size), 8) AS log_two, trunc(p_retailprice) AS cut_off, round(trunc(p_retailprice * 10) / 10, 4) AS cut_one, chr(8364) AS euro, left(p_name, -2) AS but_two, left(p_name, 3) AS first_three, right(p_name, 2) AS last_two,
+           substr(p_name, 1, 2) AS from_zero, p_brand || p_type AS joined, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS capital, regexp_extract(p_brand, '(\w+)#(\d+)', 2) AS second, regexp_extract(p_brand, '\d+') AS whole, 'log(x) -- ''left(' AS quoted FROM part""")
+def engine_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions by their advertised names in the engine's SQL text."""
+    engine = Engine(spark)
+    engine.register(DatasetSpec("engine_part", f"{sf_dir}/part.parquet", file_format="parquet"))
+    return engine.sql(r"""
+        SELECT p_partkey, strpos(p_name, 'i') AS at_i, starts_with(p_type, 'PROMO') AS promo, to_hex(p_size) AS hexed, sha256(p_name) AS s256, length(sha224(p_name)) AS l224, length(sha384(p_name)) AS l384, length(sha512(p_name)) AS l512, lower(hex(digest(p_name, 'sha256'))) AS digested,
+               round(log(p_size), 8) AS log_ten, round(log(2, p_size), 8) AS log_two, trunc(p_retailprice) AS cut_off, round(trunc(p_retailprice, 1), 4) AS cut_one, chr(8364) AS euro, left(p_name, -2) AS but_two, LEFT(p_name, 3) AS first_three, right(p_name, 2) AS last_two,
+               substr(p_name, 0, 3) AS from_zero, concat(p_brand, NULL, p_type) AS joined, initcap(p_type) AS capital, regexp_match(p_brand, '(\\w+)#(\\d+)')[1] AS second, regexp_match(p_brand, '\\d+')[0] AS whole, 'log(x) -- \'left(' AS quoted -- trunc(
+        FROM engine_part""")
+
+
+@register(f"""
+    SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2024-01-01 00:05:00') AS bin, make_timestamp(event_id * 1000000) AS by_seconds, make_timestamp(event_id * 1000) AS by_millis, make_timestamp(event_id) AS by_micros, make_timestamp(event_id * 1000000) AS by_unix, date_trunc('day', ts) AS day,
+           json_extract_string(props, '$.k') AS k_text, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS DOUBLE) AS k_float, true AS has_k, false AS has_x, 1 AS n FROM events""")
+def engine_time_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time and JSON functions by their advertised names in the engine's SQL text."""
+    engine = Engine(spark)
+    engine.register(DatasetSpec("engine_stream", f"{sf_dir}/events.parquet", file_format="parquet"))
+    found = engine.sql("""
+        SELECT event_id, date_bin(INTERVAL '15' MINUTE, ts, TIMESTAMP'2024-01-01 00:05:00') AS bin, to_timestamp_seconds(event_id) AS by_seconds, to_timestamp_millis(event_id) AS by_millis, to_timestamp_micros(event_id) AS by_micros, from_unixtime(event_id) AS by_unix, datetrunc('day', ts) AS day,
+               json_get_str(props, 'k') AS k_text, json_get_int(props, 'k') AS k, json_get_float(props, 'k') AS k_float, json_contains(props, 'k') AS has_k, json_contains(props, 'x') AS has_x, json_length(props) AS n
+        FROM engine_stream""")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("bin", "by_seconds", "by_millis", "by_micros", "by_unix", "day")})
+
+
+@register(f"SELECT vec_id, round((1 - list_cosine_similarity(embedding::DOUBLE[], {ORACLE_QUERY}::DOUBLE[])) / 2, 6) AS dist, round(list_distance(embedding::DOUBLE[], {ORACLE_QUERY}::DOUBLE[]), 5) AS d FROM embeddings")
+def engine_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector distances by name in the engine's SQL text."""
+    engine = Engine(spark)
+    engine.register(DatasetSpec("engine_vectors", f"{sf_dir}/embeddings.parquet", file_format="parquet"))
+    query = "array(" + ", ".join(f"{x}D" for x in QUERY) + ")"
+    return engine.sql(f"SELECT vec_id, round(cosine_distance(embedding, {query}), 6) AS dist, round(array_distance(embedding, {query}), 5) AS d FROM engine_vectors")
+
+
 @register(f"SELECT event_id, ts, value FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '{CUT}'")
 def engine_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A kept dataset with a refresh statement and a data window."""

@@ -163,7 +163,7 @@ def test_store_readers_keep_their_version(spark):
     assert before.count() == 3 and sorted(r.id for r in store.read().collect()) == [1, 2, 10, 11] and store.latest()["rows"] == 4
 
 
-@pytest.mark.parametrize("sql,ok", [("SELECT 1", True), ("  -- note\nWITH a AS (SELECT 1) SELECT * FROM a", True), ("SELECT 'drop table x; delete from y'", True), ("DROP TABLE x", False), ("INSERT INTO t VALUES (1)", False), ("SELECT 1; SELECT 2", False), ("WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", False), ("SET x = 1", False), ("CREATE VIEW v AS SELECT 1", False), ("EXPLAIN SELECT 1", True)])
+@pytest.mark.parametrize("sql,ok", [("SELECT 1", True), ("  -- note\nWITH a AS (SELECT 1) SELECT * FROM a", True), ("SELECT 'drop table x; delete from y'", True), ("DROP TABLE x", False), ("INSERT INTO t VALUES (1)", False), ("SELECT 1; SELECT 2", False), ("WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", False), ("SET x = 1", False), ("CREATE VIEW v AS SELECT 1", False), ("EXPLAIN SELECT 1", True), ("SELECT '--' ; DROP TABLE x", False), (r"SELECT 'it\'s; ok'", True), ("SELECT 'a''; b' -- ; c", True)])
 def test_only_reading_statements(sql, ok):
     if ok:
         check_read_only(sql)
@@ -172,8 +172,8 @@ def test_only_reading_statements(sql, ok):
             check_read_only(sql)
 
 
-@pytest.mark.parametrize("sql,ok", [("SELECT * FROM t", True), ("select * from t where a > 1 order by a limit 5", True), ("SELECT a FROM t", False), ("SELECT * FROM u", False), ("SELECT * FROM t JOIN u", False), ("SELECT * FROM t WHERE a > 1 UNION SELECT * FROM u", False)])
-def test_refresh_statements(sql, ok):
+@pytest.mark.parametrize("sql,ok", [("SELECT * FROM t", True), ("select * from t where a > 1 order by a limit 5", True), ("SELECT a FROM t", False), ("SELECT * FROM u", False), ("SELECT * FROM t JOIN u", False), ("SELECT * FROM t WHERE a > 1 UNION SELECT * FROM u", False), ("SELECT * FROM t WHERE x = 1 EXCEPT SELECT * FROM u", False), ("SELECT * FROM t LIMIT 5; DROP TABLE x", False), ("SELECT * FROM t WHERE a IN (SELECT b FROM u)", False), ("SELECT * FROM t WHERE EXISTS (SELECT 1 FROM u)", False), ("SELECT *, 1 FROM t", False), ("SELECT DISTINCT * FROM t", False), ("SELECT * FROM t -- note\nWHERE v = 'join; union'", True)])
+def test_refresh_statements(spark, sql, ok):
     if ok:
         check_refresh_sql(sql, "t")
     else:
@@ -187,11 +187,11 @@ def test_engine_life_cycle(spark):
     source = spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "id int, t long, v string")
     engine.register(DatasetSpec("things", source, mode="read_write", time_column="t", time_format="unix_seconds", acceleration=acc))
     count = "SELECT count(*) AS n FROM things"
-    assert engine.fetch(count)["n"][0].as_py() == 2
+    assert engine.fetch(count).first()["n"] == 2
     assert engine.fetch(count) is engine.fetch(count)
     engine.write("things", spark.createDataFrame([(2, 20, "B"), (3, 15, "c")], source.schema))
     assert {tuple(r) for r in engine.table("things").collect()} == {(1, 10, "a"), (2, 20, "B"), (3, 15, "c")}
-    assert engine.fetch(count)["n"][0].as_py() == 3
+    assert engine.fetch(count).first()["n"] == 3
     engine.specs["things"].source = spark.createDataFrame([(1, 10, "old"), (4, 30, "d")], source.schema)
     assert engine.refresh("things") and engine.table("things").count() == 4
     assert engine.scan("things", "v = 'old'").count() == 1 and engine.scan("things", "v = 'a'").count() == 1
@@ -213,18 +213,53 @@ def test_engine_life_cycle(spark):
         engine.write("fixed", source)
 
 
-def test_results_cache_forgets(monkeypatch):
-    import pyarrow as pa
-
-    cache = ResultsCache(max_bytes=100)
-    small = pa.table({"a": pa.array([1] * 6, pa.int64())})
+def test_results_cache_forgets(spark):
+    cache = ResultsCache(max_bytes=100, ttl=60)
+    asked, other = spark.range(3).where("id > 1"), spark.range(3).where("id > 2")
     for k in range(3):
-        cache.put((k, (("t", k),)), small)
-    assert cache.get((0, (("t", 0),))) is None and cache.get((2, (("t", 2),))) is small
+        cache.put((k, (("t", k),)), asked, spark.range(k), 48)
+    assert cache.get((0, (("t", 0),)), asked) is None and cache.get((2, (("t", 2),)), asked).count() == 2
+    assert cache.get((2, (("t", 2),)), other) is None  # another plan with an equal key
+    cache.put((3, (("u", 0),)), asked, asked, 101)
+    assert (3, (("u", 0),)) not in cache.entries
     cache.invalidate("t")
     assert not cache.entries and cache.size == 0
 
 
+def test_sql_falls_back_to_the_source_and_knows_system_tables(spark):
+    engine = Engine(spark)
+    source = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    acc = Acceleration(new_dir(spark, "kept"), refresh_sql="SELECT * FROM backed WHERE id = 1", on_zero_results="use_source")
+    engine.register(DatasetSpec("backed", source, acceleration=acc))
+    assert [r.v for r in engine.sql("SELECT v FROM backed").collect()] == ["a"]
+    assert [r.v for r in engine.sql("SELECT v FROM backed WHERE id = 2").collect()] == ["b"]
+    assert [r.v for r in engine.sql("SELECT v FROM backed").collect()] == ["a"]
+    named = "SELECT table_name FROM information_schema.tables WHERE table_schema = 'public' AND table_name = 'backed' AND 'runtime.x' <> ''"
+    assert [r.table_name for r in engine.sql(named).collect()] == ["backed"]
+    found = engine.sql("SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'backed' ORDER BY ordinal_position").collect()
+    assert [tuple(r) for r in found] == [("id", "int"), ("v", "string")]
+    assert engine.sql("SELECT count(*) AS n FROM runtime.task_history WHERE error_message IS NULL").first().n > 2
+
+
+def test_refresh_is_retried(spark, monkeypatch):
+    from lakeloom.operators import retry
+
+    monkeypatch.setattr(retry, "waits", lambda most=None, longest=0: iter([0.0] * (most or 0)))
+    engine, tries = Engine(spark), []
+    engine.specs["flaky"] = DatasetSpec("flaky", spark.range(3), acceleration=Acceleration(new_dir(spark, "kept")))
+
+    def source(spec):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("not now")
+        return spec.source
+
+    monkeypatch.setattr(engine, "source", source)
+    assert engine.refresh("flaky") == 3 and len(tries) == 3
+    with pytest.raises(ValueError):
+        engine.refresh("flaky", sql="SELECT id FROM flaky")
+
+
 def test_llm_is_not_needed():
     import ast
     from pathlib import Path
