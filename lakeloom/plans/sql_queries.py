@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import report_queries
+from lakeloom.plans import report_queries, workload_queries
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -150,9 +150,10 @@ SQL: dict[str, str] = {
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "ds_window_family": """
         SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INT) AS rn, CAST(dense_rank() OVER w AS INT) AS dr, CAST(ntile(4) OVER w AS INT) AS quarter,
-               lag(o_totalprice) OVER w AS before, lead(o_totalprice) OVER w AS after, first_value(o_totalprice) OVER w AS first_price,
+               lag(o_totalprice) OVER w AS before, lead(o_totalprice) OVER w AS after, first_value(o_totalprice) OVER w AS first_price, last_value(o_totalprice) OVER f AS last_price,
+               nth_value(o_totalprice, 2) OVER f AS second_price,
                round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd
-        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), f AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "ds_range_frame": """
         SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS near FROM orders""",
     "ds_full_outer": """
@@ -225,15 +226,22 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT json_extract_string(props, '$.k') AS k, count(*) AS c FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) < 50 GROUP BY 1",
     ),
     "fn_sha_family": (
-        "SELECT p_partkey, sha2(p_name, 512) AS f_sha512, bit_length(p_name) AS f_bits, octet_length(p_name) AS f_octets, hex(p_size) AS f_hex, locate('a', p_name) AS f_strpos, startswith(p_type, 'PROMO') AS f_starts FROM part",
-        None,
+        "SELECT p_partkey, length(sha2(p_name, 224)) AS l224, length(sha2(p_name, 384)) AS l384, length(sha2(p_name, 512)) AS l512, sha2(p_name, 256) AS f_sha256, bit_length(p_name) AS f_bits, octet_length(p_name) AS f_octets, char_length(p_name) AS f_chars, character_length(p_brand) AS f_characters, hex(p_size) AS f_hex, locate('a', p_name) AS f_strpos, startswith(p_type, 'PROMO') AS f_starts, btrim(concat('  ', p_brand, ' ')) AS f_btrim, round(pow(p_size, 0.5), 8) AS f_pow FROM part",
+        "SELECT p_partkey, CAST(56 AS INT) AS l224, CAST(96 AS INT) AS l384, CAST(128 AS INT) AS l512, sha256(p_name) AS f_sha256, CAST(bit_length(p_name) AS INT) AS f_bits, CAST(octet_length(encode(p_name)) AS INT) AS f_octets, CAST(length(p_name) AS INT) AS f_chars, CAST(length(p_brand) AS INT) AS f_characters, to_hex(p_size) AS f_hex, CAST(strpos(p_name, 'a') AS INT) AS f_strpos, starts_with(p_type, 'PROMO') AS f_starts, trim('  ' || p_brand || ' ') AS f_btrim, round(pow(p_size, 0.5), 8) AS f_pow FROM part",
     ),
     "arrays_unnest": (
-        "SELECT doc_id, pos + 1 AS nth, word FROM documents LATERAL VIEW posexplode(slice(split(text, ' '), 1, 5)) t AS pos, word WHERE doc_id < 200",
-        "SELECT doc_id, CAST(nth AS INT) AS nth, w[nth] AS word FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 5) + 1)) AS nth FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE doc_id < 200))",
+        "SELECT doc_id, pos + 1 AS nth, word FROM documents LATERAL VIEW posexplode(split(text, ' ')) t AS pos, word",
+        "SELECT doc_id, CAST(nth AS INT) AS nth, w[nth] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS nth FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))",
     ),
     "int_division": ("SELECT p_partkey, p_size div 7 AS q FROM part", "SELECT p_partkey, CAST(p_size // 7 AS BIGINT) AS q FROM part"),
-    "approx_distinct": ("SELECT event_type, approx_count_distinct(user_id) > 0 AS some, percentile_approx(value, 0.5) IS NOT NULL AS med FROM events GROUP BY event_type", "SELECT event_type, true AS some, true AS med FROM events GROUP BY event_type"),
+    "approx_distinct": (
+        "SELECT event_type, count(DISTINCT user_id) AS users, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.2 * count(DISTINCT user_id) AS near, abs(percentile_approx(value, 0.5, 10000) - percentile(value, 0.5)) < 1 AS median_near, round(percentile(value, 0.5), 6) AS median FROM events GROUP BY event_type",
+        "SELECT event_type, count(DISTINCT user_id) AS users, true AS near, true AS median_near, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type",
+    ),
+    "fn_times": (
+        "SELECT event_id, to_timestamp_ntz(CAST(ts AS STRING)) AS parsed, now() >= TIMESTAMP '2024-01-01 00:00:00' AS later, length(CAST(current_time() AS STRING)) >= 8 AS clock, to_timestamp(concat(CAST(CAST(ts AS DATE) AS STRING), ' 10:20:30')) = to_timestamp(date_trunc('day', ts)) + INTERVAL '10:20:30' HOUR TO SECOND AS same FROM events",
+        "SELECT event_id, ts AS parsed, true AS later, true AS clock, true AS same FROM events",
+    ),
 }
 SQL["ds_rollup_grouping"] = """
         SELECT r_name, n_name, CAST(g AS INT) AS lochierarchy, total, CAST(rank() OVER (PARTITION BY g, CASE WHEN g2 = 0 THEN r_name END ORDER BY total DESC NULLS FIRST) AS INT) AS rank_within_parent
@@ -254,10 +262,10 @@ def query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    texts = SQL | report_queries.SQL | {name: spark for name, (spark, _) in PAIRS.items()}
+    texts = SQL | report_queries.SQL | workload_queries.SQL | {name: spark for name, (spark, _) in PAIRS.items()}
     return {name: query(sql.replace("TS'", "timestamp_ntz'").replace("sha256(p_name)", "sha2(p_name, 256)")) for name, sql in texts.items()}
 
 
 def oracles() -> dict[str, str]:
-    texts = SQL | report_queries.SQL | {name: duck for name, (_, duck) in PAIRS.items() if duck}
+    texts = SQL | report_queries.SQL | workload_queries.SQL | {name: duck for name, (_, duck) in PAIRS.items() if duck}
     return {name: sql.replace("TS'", "TIMESTAMP '") for name, sql in texts.items()}
