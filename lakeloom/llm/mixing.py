@@ -8,12 +8,14 @@ number of copies; so a source's words never leave its target by more than one
 document. Documents are dealt by hash into leaves of about ``LEAF`` rows of one
 source, however large the source; each leaf leaves one open document, and these
 meet in a tree of fan-in ``FAN`` until one is left, which is rounded by its
-probability. All draws come from hashes of the rows, so reruns agree.
+probability. All draws come from hashes of the rows (id, source and text, and a number
+among rows that agree in these), so reruns agree however rows are dealt.
 
 Defined cases: a null text has size 0 and a document without words takes nothing;
-a null source is a source of its own, last in order; repeated rows are documents
-of their own; an empty table gives an empty result; columns of ``docs`` that clash
-with the result's are replaced.
+a null source is a source of its own, last in order; repeated rows, rows that share an
+id and rows without one are documents of their own, rounded apart (which of several
+equal rows is taken more often isn't told); an empty table gives an empty result;
+columns of ``docs`` that clash with the result's are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import WORD, cut, with_rank
+from lakeloom.llm.common import WORD, cut, map_batches, numbered, with_rank
 
 LEAF = 2048
 FAN = 256
@@ -113,49 +115,47 @@ def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rounded(rows: DataFrame, name: str) -> DataFrame:
     dealt = rows.repartition("__rank", "__leaf").sortWithinPartitions("__rank", "__leaf", "__key")
-    return cut(dealt.mapInArrow(_round, rows.schema), name)
+    return cut(map_batches(dealt, _round, rows.schema), name)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source", columns: list[str] | None = None) -> DataFrame:
     """All rows of ``docs``, with ``columns`` (all if None), size, source_size, target, copies and taken.
 
     ``copies`` is how often the mix repeats the document, ``taken`` its words times
-    that. Only the columns named, id and source are shuffled.
+    that. Only sizes and numbers of rows are rounded; the columns named are written
+    once with the rows' numbers, and joined with the copies at the end.
     """
     base = docs.drop(*ADDED)
     kept = base.columns if columns is None else [c for c in columns if c not in ADDED]
-    sized = base.select(*dict.fromkeys([*kept, doc_id, source]), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    mark = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.xxhash64(F.col(text)))
+    sized = cut(base.select(*dict.fromkeys([*kept, source]), size.alias("size"), mark.alias("__mark"), F.monotonically_increasing_id().alias("__row")), "sized")
     stats = cut(sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "sources")
     targets = cut(source_targets(stats, weights, most), "targets")
-    of = targets.select(F.col("source").alias("__source"), F.col("rank").alias("__rank"), "source_size", "target", F.ceil(F.col("n_docs") / LEAF).alias("__leaves"))
     few = targets.count() <= BROADCAST_SOURCES
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
+    near = F.broadcast if few else (lambda t: t)
+    facts = targets.select(F.col("source").alias("__source"), F.col("rank").alias("__rank"), F.ceil(F.col("n_docs") / LEAF).alias("__leaves"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
+    slim = numbered(sized.select("__row", "__mark", "size", F.col(source).alias("source")), "__mark", "__row", "__nth")
     rows = (
-        sized.join(F.broadcast(of) if few else of, F.col(source).eqNullSafe(F.col("__source")))
-        .drop("__source")
-        .withColumn("__key", F.xxhash64(F.lit(seed), doc_id, "size", source))
+        slim.join(near(facts), F.col("source").eqNullSafe(F.col("__source")))
+        .withColumn("__key", F.xxhash64("__mark", "__nth"))
         .withColumn("__leaf", F.pmod(F.xxhash64("__key", F.lit("leaf")), F.col("__leaves")))
-        .withColumn("__w", F.col("size").cast("double"))
-        .withColumn("copies", whole.cast("long"))
-        .withColumn("__p", F.when(F.col("size") > 0, rate - whole).otherwise(F.lit(0.0)))
-        .drop("__leaves")
+        .withColumn("__p", F.when(F.col("size") > 0, F.col("__rate") - F.floor("__rate")).otherwise(0.0))
+        .select("__row", "__rank", "__leaf", "__key", F.col("size").cast("double").alias("__w"), "__p", F.floor("__rate").cast("long").alias("copies"))
     )
     dealt = _rounded(rows, "leaves")
     closed = F.col("__p").isin(0.0, 1.0)
-    nodes = dealt.where(~closed).select("__rank", F.col("__leaf").alias("__home"), "__leaf", "__key", "__w", "__p")
-    leaves = int(of.agg(F.max("__leaves")).first()[0] or 0)
-    decided = []
+    nodes = dealt.where(~closed).select("__rank", "__row", "__leaf", "__key", "__w", "__p", "copies")
+    leaves = int(facts.agg(F.max("__leaves")).first()[0] or 0)
+    decided = [dealt.where(closed)]
     while leaves > 1:
         nodes = _rounded(nodes.withColumn("__leaf", F.floor(F.col("__leaf") / FAN)), "nodes")
         decided.append(nodes.where(closed))
         nodes, leaves = nodes.where(~closed), -(-leaves // FAN)
     draw = F.pmod(F.xxhash64("__key", F.lit("last")), F.lit(1 << 53)) / float(1 << 53)
-    decided.append(nodes.withColumn("__p", (draw < F.col("__p")).cast("double")))
-    takes = decided[0]
-    for more in decided[1:]:
-        takes = takes.unionByName(more)
-    takes = takes.select("__rank", F.col("__home").alias("__leaf"), F.col("__p").alias("__take"))
-    opened = dealt.where(~closed).join(takes, ["__rank", "__leaf"]).withColumn("__p", F.col("__take")).select(*dealt.columns)
-    full = dealt.where(closed).unionByName(opened)
-    return full.withColumn("copies", F.col("copies") + F.col("__p").cast("long")).withColumn("taken", F.col("size") * F.col("copies")).select(*kept, *ADDED)
+    copies = nodes.select("__row", (F.col("copies") + (draw < F.col("__p")).cast("long")).alias("copies"))
+    for part in decided:
+        copies = copies.unionByName(part.select("__row", (F.col("copies") + F.col("__p").cast("long")).alias("copies")))
+    of = targets.select(F.col("source").alias("__source"), "source_size", "target")
+    named = sized.withColumn("__of", F.col(source)).join(copies, "__row").join(near(of), F.col("__of").eqNullSafe(F.col("__source")))
+    return named.withColumn("taken", F.col("size") * F.col("copies")).select(*kept, *ADDED)
