@@ -11,12 +11,13 @@ a pair counts only in the list of its first three shared positions.
 
 Lists of more than ``HOT`` fingerprints (groups of near copies, or very many
 documents) are refined to five of eight positions. Those still longer are dealt in
-blocks: a task compares two blocks and returns the links of a spanning forest,
-never all pairs. Links thus give the exact components; nothing is capped or dropped.
+blocks: a task tallies the shared bytes between two blocks, verifies the pairs that
+reach the minimum and returns the links of a spanning forest, never all pairs. Links thus give the exact components; nothing is capped or dropped.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and
 is linked like any other; repeated rows are kept; a null doc_id never names a
-component unless all its documents lack ids; an empty table is fine.
+component unless all its documents lack ids; other columns are ignored; a very long
+text is hashed in parts; an empty table is fine.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, texts
+from lakeloom.llm.common import byte_parts, cut, map_batches, slices, texts
 from lakeloom.llm.components import components
 
 SHINGLE = 3
@@ -39,23 +40,30 @@ HOT = 64
 BLOCK = 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text, unsigned."""
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words; of all of them if there are fewer."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[-n:] if len(words) >= shingle else ends[-1:]
-    view = memoryview(joined)
-    hashes = np.fromiter((xxh64_intdigest(view[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):
-        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    view = memoryview(b" ".join(words))
+    return np.fromiter((xxh64_intdigest(view[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text, unsigned; a long text is hashed part by part."""
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for data in byte_parts(text or ""):
+        words += data.split()
+        if len(words) >= shingle:
+            hashes = _hashes(words, shingle)
+            for k in range(0, len(hashes), 1 << 14):
+                ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n, words = n + len(hashes), words[len(words) - shingle + 1 :]
+    if not n and words:
+        return int(_hashes(words, shingle)[0])
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -64,11 +72,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in texts(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(c) for c in keep)], names=["doc_id", "fp", *keep])
+            for piece in slices(batch, "text"):
+                found = np.array([fingerprint(t, shingle) for t in texts(piece.column("text"))], np.uint64)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found.view(np.int64)), *(piece.column(c) for c in keep)], names=["doc_id", "fp", *keep])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
-    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in keep)]))
+    return map_batches(rows, run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in keep)]))
 
 
 def _byte(fp: Column, p: int) -> Column:
@@ -107,6 +116,11 @@ def _pairs(postings: DataFrame, size: int, within: int) -> DataFrame:
     return postings.join(theirs, "key").where(kept & near).select(F.col("fp").alias("u"), other.alias("v"))
 
 
+def _shared_bytes(differing: np.ndarray) -> np.ndarray:
+    """How many of the eight positional bytes are zero, that is, shared."""
+    return (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def _forest(fps: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what pairs of at most MOST_BITS connect, within fps or between both."""
     nodes = fps if other is None else np.concatenate([fps, other])
@@ -121,7 +135,8 @@ def _forest(fps: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarra
     links = []
     for i in range(len(fps)):
         rest, base = (fps[i + 1 :], i + 1) if other is None else (other, len(fps))
-        for j in (np.flatnonzero(np.bitwise_count(rest ^ fps[i]) <= MOST_BITS) + base).tolist():
+        shared = np.flatnonzero(_shared_bytes(rest ^ fps[i]) >= LEAST_BYTES)
+        for j in (shared[np.bitwise_count(rest[shared] ^ fps[i]) <= MOST_BITS] + base).tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)

@@ -10,7 +10,8 @@ intercept is then moved to the classes' shares among all labelled rows.
 
 Defined cases: a null text is empty and gets the intercept's score; null labels and
 labels of unknown documents teach nothing; of repeated labels of a document the
-largest counts; with one class only, every score is that class's share; an empty
+largest counts, and of several texts of a labelled id that with the least hash; a very
+long text is hashed in parts; other columns are passed on; with one class only, every score is that class's share; an empty
 labels table gives score 0.
 """
 
@@ -25,33 +26,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import cut, held_out, texts
+from lakeloom.llm.common import cut, held_out, map_batches, slices, texts
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
+#: Characters of a text whose n-grams are in memory at a time.
+PART = 1 << 19
 MOST_PER_CLASS = 3000
 FEATURES = 1 << 13
 THRESHOLD = 0.3
 ADDED = {"score": T.DoubleType(), "predicted": T.IntegerType()}
 
 
-def hashes(text: str, bits: int = BITS) -> np.ndarray:
-    """The hashed n-grams of a text, repeats included."""
-    chars = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    h, found = chars.copy(), [np.zeros(0, np.uint32)]
-    for n in range(2, SIZES[-1] + 1):
-        if len(chars) < n:
-            break
-        h = h[: len(chars) - n + 1] * np.uint32(0x01000193) ^ chars[n - 1 :] * np.uint32(0x85EBCA6B)
-        if n in SIZES:
-            found.append((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits))
-    return np.concatenate(found)
+def hashes(text: str, bits: int = BITS) -> Iterator[np.ndarray]:
+    """The hashed n-grams of a text, repeats included, by size and part of the text."""
+    padded, longest = f" {text.lower()} ", SIZES[-1]
+    for k in range(0, len(padded), PART):
+        chars = np.frombuffer(padded[k : k + PART + longest - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = chars
+        for n in range(2, longest + 1):
+            if len(chars) < n:
+                break
+            h = h[: len(chars) - n + 1] * np.uint32(0x01000193) ^ chars[n - 1 :] * np.uint32(0x85EBCA6B)
+            if n in SIZES:
+                yield (h[:PART] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
 
 
 def features(text: str, chosen: np.ndarray) -> np.ndarray:
     """The distinct n-grams of a text for which ``chosen`` (by hash) holds."""
-    found = hashes(text)
-    return np.unique(found[chosen[found]])
+    found = [h[chosen[h]] for h in hashes(text)] if len(text) < PART else [np.unique(h[chosen[h]]) for h in hashes(text)]
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *found]))
 
 
 @dataclass
@@ -106,7 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most_per_cl
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(most_per_class)
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sample = cut(rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    texts_of = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = cut(texts_of, "labelled")
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     of = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(of) < 2:
@@ -121,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most_per_cl
         f = np.flatnonzero(seen.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(seen[0, f]), pa.array(seen[1, f])], names=["f", "n0", "n1"])
 
-    counts = sample.mapInArrow(count, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = map_batches(sample, count, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     s0, s1 = (F.col("n0") + 1) / (of[0] + 2), (F.col("n1") + 1) / (of[1] + 2)
     ratio = F.log(s1 / s0)
     best = counts.where("n0 + n1 > 2").select("f", ratio.alias("r")).orderBy(F.abs((s1 - s0) * ratio).desc(), "f").limit(FEATURES).collect()
@@ -134,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most_per_cl
             found = [place[features(t, chosen)] for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x.tobytes() for x in found], pa.binary())], names=["y", "x"])
 
-    got = sample.mapInArrow(reduce, "y int, x binary").collect()
+    got = map_batches(sample, reduce, "y int, x binary").collect()
     weights, b = fit([np.frombuffer(r["x"], np.int32) for r in got], np.array([r["y"] for r in got], float), np.array([r["r"] for r in best]), l2)
     full = np.zeros(1 << BITS, np.float32)
     full[ids] = weights
@@ -148,7 +153,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([model.score(t) for t in texts(batch.column(text))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            for piece in slices(batch, text):
+                scores = pa.array([model.score(t) for t in texts(piece.column(text))], pa.float64())
+                yield pa.RecordBatch.from_arrays([*piece.columns, scores], names=[*piece.schema.names, "score"])
 
-    return base.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return map_batches(base, run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
