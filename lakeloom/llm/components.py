@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import cut
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(w, m): the least smaller neighbour of each node that has one, written so that joins with it deal both sides anew."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to its smallest one (itself included)."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Edges point from the larger node u to v: u is linked to the least neighbour of v, or to v if v has no smaller one."""
+    linked = edges.join(_least(edges), F.col("v") == F.col("w"), "left")
+    return linked.select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Edges point from the larger node u to v: all of u's smaller neighbours, and u, are linked to the smallest."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+    """All smaller neighbours of u, and u, are linked to the smallest."""
+    least = _least(edges)
     linked = edges.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+    return linked.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,8 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Both stars run until no edge changes. Every round groups and joins the edges
     by node, is written to the shared folder, and gives the driver two numbers.
-    Hot nodes are counted before the shuffle, and the joins are ones whose large
-    partitions Spark can split. Self-links are dropped; an empty table is fine.
+    A hot node's neighbours are reduced before the shuffle, and its edges meet its
+    least neighbour in joins of two written tables, whose large partitions Spark
+    splits. Self-links are dropped; an empty table is fine.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
@@ -37,5 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(after) == mark or not after[0]:
             break
         mark = tuple(after)
-        now = cut(_small_star(_large_star(now)), "edges")
+        now = cut(_small_star(cut(_large_star(now), "edges")), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -15,7 +15,9 @@ reaches the driver.
 
 Defined cases: a null or empty text has no words and no hits; an item without words
 has no window; items are told apart by item_id, a null item_id counts as the item
-``null``; repeated rows count for themselves.
+``null``; repeated rows count for themselves; of an empty table nothing is found, and
+without items nothing is hit; columns of ``docs`` that clash with the result's are
+replaced, others passed on.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import cut, filesystem, new_dir, slices, texts, with_sums
+from lakeloom.llm.common import cut, filesystem, map_batches, new_dir, slices, texts, with_sums
 
 WINDOW = 10
 PART_BYTES = 8 << 20
@@ -196,7 +198,7 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     parts = parts_of(benchmark, item_id, item_text)
     found = base.withColumn("__hits", F.array().cast("array<int>")).withColumn("items", F.array().cast("array<string>")).withColumn("n_words", F.lit(0).cast("long"))
     for k, part in enumerate(parts or [None]):
-        found = found.mapInArrow(_pass(part, window, text), schema)
+        found = map_batches(found, _pass(part, window, text), schema)
         if k < len(parts) - 1:
             found = cut(found, "searched")
     return (

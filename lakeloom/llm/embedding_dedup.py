@@ -18,7 +18,8 @@ pair counts in the first of the large buckets that it shares.
 Defined cases: vectors that are null, zero, or hold null or non-finite components,
 null labels and null ids link with nothing; vectors of different lengths are not
 compared; repeated rows are vectors of their own; a row without an id has no
-component and isn't kept; an empty table is fine.
+component and isn't kept; components are compared as given (floats, or else doubles);
+other columns are ignored; an empty table is fine.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakeloom.llm.common import cut
+from lakeloom.llm.common import cut, map_batches
 from lakeloom.llm.components import components
 
 THRESHOLD = 0.93
@@ -134,7 +136,7 @@ def _buckets(classes: DataFrame, tables: int, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("cls").take(rows), batch.column("label").take(rows), pa.array(t), pa.array(keys.ravel())], names=["cls", "label", "t", "key"])
 
     schema = f"cls long, label {classes.schema['label'].dataType.simpleString()}, t int, key long"
-    return classes.select("cls", "label", "embedding").mapInArrow(run, schema)
+    return map_batches(classes.select("cls", "label", "embedding"), run, schema)
 
 
 def _forest(links: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -233,7 +235,8 @@ def _large(classes: DataFrame, buckets: DataFrame, hot: DataFrame, threshold: fl
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"), F.col(label).alias("label"))
+    kind = "array<float>" if vectors.schema[embedding].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding"), F.col(label).alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite, F.lit(False))
     rows = rows.withColumn("usable", usable)

@@ -11,7 +11,8 @@ tasks that read them; only the counts are shuffled, and a table of languages by
 ``BUCKETS`` reaches the driver.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and no
-spans; a script that no learned language uses leaves all languages as candidates;
+spans; a very long text is cut beside a letter into parts for its n-grams, not for
+Viterbi; a script that no learned language uses leaves all languages as candidates;
 null languages teach nothing; without any learned language all is ``und``; repeated
 rows are labelled each; columns of ``docs`` that clash with the result's are replaced.
 """
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import slices, texts
+from lakeloom.llm.common import map_batches, slices, texts
 
 BUCKETS = 1 << 16
 SWITCH = 10.0
 #: Bytes of text whose n-grams are in memory at a time.
 PART = 1 << 20
+#: Languages whose counts a task holds at a time.
+HELD = 64
 #: Least share of a language's letters for a script to be one of its own.
 LEAST_SHARE = 0.01
 UNKNOWN = "und"
@@ -101,6 +104,31 @@ def words(batch: list[str]) -> tuple[Words, np.ndarray]:
     return Words(start, end, np.searchsorted(begins, start, "right") - 1, script[chars[start]], gram, word), begins
 
 
+def parts(batch: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Texts in groups of about ``PART`` characters, long ones cut beside a letter; of each piece its text's number and its place there."""
+    letter, _ = tables()
+    pieces, docs, places, size = [], [], [], 0
+    for d, t in enumerate(batch):
+        at = 0
+        while at < len(t) or not t and not at:
+            end = min(len(t), at + PART)
+            if end < len(t):
+                back = end
+                while back > at and letter[ord(t[back])] and letter[ord(t[back - 1])]:
+                    back -= 1
+                end = back if back > at else next((k for k in range(end, len(t)) if not letter[ord(t[k])]), len(t))
+            pieces.append(t[at:end])
+            docs.append(d)
+            places.append(at)
+            size += end - at
+            at = end or 1
+            if size >= PART:
+                yield pieces, np.array(docs, np.int32), np.array(places, np.int32)
+                pieces, docs, places, size = [], [], [], 0
+    if pieces:
+        yield pieces, np.array(docs, np.int32), np.array(places, np.int32)
+
+
 @dataclass
 class Model:
     """Languages, log-probabilities by n-gram and language, and the scripts of each."""
@@ -112,7 +140,7 @@ class Model:
     def scores(self, w: Words) -> np.ndarray:
         """Of each word and language: the log-probability of the word's n-grams."""
         n = len(w.start)
-        score = np.stack([np.bincount(w.word, self.log_p[w.gram, j], n) for j in range(len(self.languages))], axis=1).astype(np.float64)
+        score = np.stack([np.bincount(w.word, self.log_p[w.gram, j], n) for j in range(len(self.languages))], axis=1).astype(np.float32)
         score[~self.allowed[w.script]] -= 1000.0
         return score
 
@@ -149,20 +177,28 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for name, n in seen.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "f", "n"])
+            seen.clear()
+
         for batch in batches:
             for piece in slices(batch, "text", PART):
                 langs, all_ = np.array(piece.column("lang").to_pylist()), np.array(texts(piece.column("text")), object)
                 for name in np.unique(langs):
-                    w, _ = words(all_[langs == name].tolist())
                     n = seen.setdefault(str(name), np.zeros(BUCKETS + N_SCRIPTS, np.int64))
-                    n[:BUCKETS] += np.bincount(w.gram, minlength=BUCKETS)
-                    n[BUCKETS:] += np.bincount(w.script, w.end - w.start, N_SCRIPTS).astype(np.int64)
-        for name, n in seen.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "f", "n"])
+                    for some, _, _ in parts(all_[langs == name].tolist()):
+                        w, _ = words(some)
+                        n[:BUCKETS] += np.bincount(w.gram, minlength=BUCKETS)
+                        n[BUCKETS:] += np.bincount(w.script, w.end - w.start, N_SCRIPTS).astype(np.int64)
+                    if len(seen) >= HELD:
+                        yield from counted()
+        yield from counted()
 
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL")
-    found = rows.mapInArrow(count, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(rows, count, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(found["lang"].unique())
     n = np.zeros((len(names), BUCKETS + N_SCRIPTS))
     n[found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(int), found["f"].to_numpy(int)] = found["n"].to_numpy(float)
@@ -186,18 +222,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
             for piece in slices(batch, text):
                 n = piece.num_rows
                 pred, score, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
-                start, end, doc, scored, at = [], [], [], [], 0
-                for part in slices(piece, text, PART) if model.languages else ():  # n-grams take much more room than words
-                    w, begins = words(texts(part.column(text)))
-                    start.append(w.start - begins[w.doc])
-                    end.append(w.end - begins[w.doc])
-                    doc.append(w.doc + at)
+                start, end, doc, scored = [], [], [], []
+                for some, of, place in parts(texts(piece.column(text))) if model.languages else ():  # n-grams take much more room than words
+                    w, begins = words(some)
+                    shift = place - begins
+                    start.append((w.start + shift[w.doc]).astype(np.int32))
+                    end.append((w.end + shift[w.doc]).astype(np.int32))
+                    doc.append(of[w.doc])
                     scored.append(model.scores(w))
-                    at += part.num_rows
                 if sum(map(len, start)):
                     first, after, of = map(np.concatenate, (start, end, doc))
                     label = model.label(np.concatenate(scored), of, n, switch)
-                    letters = np.bincount(of * len(model.languages) + label, after - first, n * len(model.languages)).reshape(n, -1)
+                    letters = np.bincount(of.astype(np.int64) * len(model.languages) + label, after - first, n * len(model.languages)).reshape(n, -1)
                     total = letters.sum(axis=1)
                     for d in np.flatnonzero(total):
                         pred[d] = model.languages[int(letters[d].argmax())]
@@ -208,4 +244,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
                         spans[d].append({"start": a, "end": b, "lang": model.languages[k]})
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(spans, span)], names=[*piece.schema.names, *ADDED])
 
-    return base.mapInArrow(run, schema)
+    return map_batches(base, run, schema)
