@@ -11,14 +11,16 @@ share ``RARE`` units. Frequencies are counted over all documents. A word of a sh
 unit has its bucket's share of the unit's probability: (count + SMOOTH) / (unit's count +
 SMOOTH * unit's buckets), so unseen buckets have a share too and the shares of a unit
 sum to 1. ``score`` splits units among words with ``by_word``. Then the network
-is trained over all documents: each task masks every word of what it reads once,
-trains a copy of the network in numpy, and returns its parameters in pieces; the
-pieces' means, weighted by words and taken in two levels, are the network. A step takes
-``FIRST_BATCH`` words at first and twice as many after every ``DOUBLE`` steps, up to
-``BATCH``, in every task, so few words give many steps. Scoring predicts every word.
+is trained over all documents, dealt by hash into shards of about ``SHARD_WORDS`` words: a
+task masks every word of its shard once, trains a copy of the network in numpy, and
+returns its parameters in pieces; the pieces' means, weighted by words and taken in
+levels of 64, are the network. A step takes ``FIRST_BATCH`` words at first and twice as
+many after every ``DOUBLE`` steps, up to ``BATCH``, in every shard, so few words give
+many steps. Scoring predicts every word. Neither shards nor scores depend on how the
+table is partitioned.
 
 Defined cases: a null or empty text has no words, log_prob 0 and a null mean;
-repeated rows count each; an empty table gives an empty result; columns of ``docs``
+repeated rows count each; a very long text is worked through in parts; an empty table gives an empty result; columns of ``docs``
 that clash with the result's are replaced.
 """
 
@@ -28,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import cut, slices
+from lakeloom.llm.common import byte_parts, cut, map_batches, numbered, slices
 
 HASH_BITS = 20
 SIDE = 64
@@ -47,6 +48,12 @@ FIRST_BATCH = 32
 DOUBLE = 128
 RATE = 0.003
 PIECE = 4096
+#: Bytes of text whose words are hashed at a time.
+PART = 1 << 19
+#: Words that a copy of the network is trained on, and copies at most: beyond, they train on more.
+SHARD_WORDS, SHARDS = 1 << 21, 1 << 16
+#: Words that are dealt in random order at a time.
+ROUND = 1 << 18
 #: Added to the count of every bucket of a shared unit, seen or not.
 SMOOTH = 0.5
 ADDED = {"n_tokens": T.LongType(), "log_prob": T.DoubleType(), "mean_log_prob": T.DoubleType()}
@@ -68,10 +75,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def buckets(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash bucket of each word of all texts, and the number of words of each text."""
-    data = [b"" if t is None else t.encode() for t in batch.to_pylist()]
-    raw = np.frombuffer(b" " + b" ".join(data) + b" ", np.uint8)
+def _buckets(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """One beyond the place where each word begins, and its hash bucket."""
+    raw = np.frombuffer(b" " + data + b" ", np.uint8)
     blank = _space[raw]
     start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
@@ -80,18 +86,57 @@ def buckets(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashed = (sums[end] - sums[start]) * _powers(_INVERSE, len(raw))[start]
     hashed ^= hashed >> np.uint64(29)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
-    begins = np.cumsum([1, *(len(d) + 1 for d in data)])
-    return (hashed >> np.uint64(64 - HASH_BITS)).astype(np.int64), np.diff(np.searchsorted(start, begins))
+    return start, (hashed >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+
 
+def buckets(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash bucket of each word of all texts, and the number of words of each text.
 
-def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(words, 2 * WINDOW) ids on both sides, UNITS beyond a document's ends."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    out = np.full((len(ids), 2 * WINDOW), UNITS, np.int64)
+    Short texts are hashed together, long ones part by part.
+    """
+    found, counts, some, size = [], np.zeros(len(batch), np.int64), [], 0
+
+    def together() -> None:
+        start, of = _buckets(b" ".join(data for _, data in some))
+        begins = np.cumsum([1, *(len(data) + 1 for _, data in some)])
+        for (k, _), n in zip(some, np.diff(np.searchsorted(start, begins)).tolist()):
+            counts[k] += n
+        found.append(of)
+        some.clear()
+
+    for k, t in enumerate(batch.to_pylist()):
+        for data in byte_parts(t or "", PART):
+            some.append((k, data))
+            size += len(data)
+            if size >= PART:
+                together()
+                size = 0
+    if some:
+        together()
+    return np.concatenate([np.zeros(0, np.int32), *found]), counts
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Three bytes for each bucket."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    out = np.zeros((len(raw), 4), np.uint8)
+    out[:, :3] = raw
+    return out.view("<i4").ravel()
+
+
+def contexts(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(places, 2 * WINDOW) ids on both sides of the places ``at``, UNITS beyond a document's ends."""
+    out = np.full((len(at), 2 * WINDOW), UNITS, np.int64)
+    own = doc[at]
     for k, off in enumerate((*range(-WINDOW, 0), *range(1, WINDOW + 1))):
-        a, b = (slice(-off, None), slice(None, off)) if off < 0 else (slice(None, -off), slice(off, None))
-        if len(ids) > abs(off):
-            out[a, k] = np.where(doc[a] == doc[b], ids[b], UNITS)
+        there = at + off
+        there[(there < 0) | (there >= len(ids))] = -1
+        same = (there >= 0) & (doc[there] == own)
+        out[same, k] = ids[there[same]]
     return out
 
 
@@ -218,18 +263,39 @@ class Model:
 
     def score(self, batch: pa.Array, by_word: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Number of words and summed log-probability of each text, of its units or of the words' buckets."""
-        net = Network(self.flat)
+        net, total = Network(self.flat), np.zeros(len(batch))
         found, counts = buckets(batch)
-        ids = self.unit[found].astype(np.int64)
-        ctx = contexts(ids, counts)
-        each = np.concatenate([np.zeros(0), *(net.log_prob(ids[k : k + 8192], ctx[k : k + 8192]) for k in range(0, len(ids), 8192))])
-        if by_word:
-            each += self.share[found]
-        return counts, np.bincount(np.repeat(np.arange(len(counts)), counts), each, len(counts))
+        ids, doc = self.unit[found], np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        for k in range(0, len(ids), 8192):
+            at = np.arange(k, min(k + 8192, len(ids)))
+            each = net.log_prob(ids[at].astype(np.int64), contexts(ids, doc, at))
+            if by_word:
+                each += self.share[found[at]]
+            total += np.bincount(doc[at], each, len(batch))
+        return counts, total
+
 
+def encoded(docs: DataFrame, text: str = "text", doc_id: str | None = "doc_id") -> DataFrame:
+    """(row, mark, n, ids): each document's words as packed buckets, written once for counting and training.
 
-def units(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The unit of each hash bucket, the logarithm of its share of it, and the count of each unit, over all documents.
+    ``mark`` is a hash of id and text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 2 << 20):
+                found, counts = buckets(piece.column("text"))
+                ends = np.cumsum(counts)
+                ids = pa.array([packed(found[end - n : end]) for n, end in zip(counts.tolist(), ends.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("mark"), pa.array(counts), ids], names=["row", "mark", "n", "ids"])
+
+    named = [F.col(doc_id)] if doc_id in docs.columns else []
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.xxhash64(*named, F.xxhash64(F.col(text).cast("string"))).alias("mark"), F.monotonically_increasing_id().alias("row"))
+    return cut(map_batches(rows, run, "row long, mark long, n long, ids binary"), "encoded")
+
+
+def units(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unit of each hash bucket, the logarithm of its share of it, and the count of each unit, over all encoded documents.
 
     Units are numbered by falling frequency, so that a class holds similar ones. The
     driver gets one number a bucket, ``1 << HASH_BITS`` at most.
@@ -238,12 +304,11 @@ def units(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << HASH_BITS, np.int64)
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
-                n += np.bincount(buckets(piece.column("text"))[0], minlength=len(n))
+            n += np.bincount(unpacked(b"".join(batch.column("ids").to_pylist())), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["f", "n"])
 
-    counted = docs.mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_batches(words.select("ids"), count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(1 << HASH_BITS, np.int64)
     n[counted.column("f").to_numpy()] = counted.column("n").to_numpy()
     seen = np.flatnonzero(n)
@@ -276,31 +341,48 @@ def _mean(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"piece": pa.array([keys[0].as_py()], pa.int32()), "part": pa.array([keys[1].as_py() // 64], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "x": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Counts and trains over all documents."""
-    rows = docs.select(F.col(text).cast("string").alias("text"))
-    unit, share, counts = units(rows)
+def train(docs: DataFrame, text: str = "text", doc_id: str | None = "doc_id") -> Model:
+    """Counts and trains over all documents.
+
+    A document's shard follows from its id and text (equal rows are told apart by a
+    number), the number of shards from the words counted, and the order in a shard from
+    the same hash, so the network doesn't depend on how ``docs`` is partitioned.
+    """
+    words = encoded(docs, text, doc_id)
+    unit, share, counts = units(words)
     first = Network.start(counts).flat
+    shards = int(min(SHARDS, max(1, -(-counts.sum() // SHARD_WORDS))))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network(first.copy()), 0
+        net, total, held, n, shard = Network(first.copy()), 0, [], 0, None
         adam = Adam(net)
+
+        def practise() -> None:
+            ids = unit[np.concatenate(held)]
+            doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+            for at in deals(len(ids), adam):
+                adam.step(net.gradient(ids[at].astype(np.int64), contexts(ids, doc, at)))
+
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
-                found, each = buckets(piece.column("text"))
-                ids = unit[found].astype(np.int64)
-                ctx = contexts(ids, each)
-                for at in deals(len(ids), adam):
-                    adam.step(net.gradient(ids[at], ctx[at]))
-                n += len(ids)
+            for of, x in zip(batch.column("shard").to_pylist(), batch.column("ids")):
+                shard = of
+                held.append(unpacked(x.as_buffer()))
+                n += len(held[-1])
+                if n >= ROUND:
+                    practise()
+                    total, held, n = total + n, [], 0
         if n:
+            practise()
+        total += n
+        if total:
             parts = [net.flat[k : k + PIECE].tobytes() for k in range(0, _SIZE, PIECE)]
-            here = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([here // 64] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["piece", "part", "n", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([shard // 64] * len(parts), pa.int32()), pa.array([total] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["piece", "part", "n", "x"])
 
     schema = "piece int, part int, n long, x binary"
-    pieces = rows.mapInArrow(learn, schema)
-    for _ in range(3):  # 64 copies at a time: up to 64 ** 3 tasks meet in tasks of 64
+    order = F.xxhash64("mark", "nth", F.lit("order"))
+    dealt = numbered(words, "mark", "row", "nth").where("n > 0").select("ids", order.alias("at"), F.pmod(F.xxhash64("mark", "nth"), F.lit(shards)).cast("int").alias("shard"))
+    pieces = map_batches(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "at"), learn, schema)
+    for _ in range(3):  # 64 copies at a time: up to 64 ** 3 shards meet in tasks of 64
         pieces = pieces.groupBy("piece", "part").applyInArrow(_mean, schema)
     flat = first.copy()
     for r in cut(pieces, "network").orderBy("part").collect():
@@ -325,4 +407,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", by_word: bool = Fal
                 mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(n, pa.int64()), pa.array(total), pa.array(mean, mask=n == 0)], names=[*piece.schema.names, *ADDED])
 
-    return base.mapInArrow(run, schema)
+    return map_batches(base, run, schema)
