@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lakeloom.llm import queries, simhash
 
@@ -56,3 +58,29 @@ def test_simhash_stage_keeps_one_row_of_each_group(spark, sf):
     got = corpus_pipeline.simhash(spark, docs, sf)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (5, b), (None, c), (9, "")], key=repr)
+
+
+def test_stages_of_odd_rows(spark, sf):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, columns with the stages' own names."""
+    benchmark = queries.table(spark, sf, "benchmark").where("length(text) > 200").first().text
+    long_ = " ".join(f"w{i}" for i in range(60_000))
+    one = " ".join(f"t{i * i}" for i in range(50))
+    rows = [
+        (None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \t", None, "a", 2), (4, long_, "en", "a", 1),
+        (5, one, "en", "b", 1), (5, one, "en", "b", 1), (6, one, "en", None, 1), (None, one, None, "b", None), (7, benchmark, "en", "b", 1), (8, "short one", "de", "c", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "size", "taken", "component_id", "n_hit", "items", "row", "at", "before"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs = docs.repartition(3)
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        columns, docs = docs.columns, corpus_pipeline.cut(stage(spark, docs, sf), name)
+        if name != "token_ids":
+            assert docs.columns == columns
+            kept.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr))
+    after_simhash = {t: i for i, t in kept[1]}
+    assert sum(t == one for _, t in kept[1]) == 1 and after_simhash[one] == 5 and sum(not (t or "").strip() for _, t in kept[1]) <= 1
+    assert all(t != benchmark for _, t in kept[2]) and any(t == long_ for _, t in kept[2])
+    assert all(kept[3].count(x) <= 3 for x in kept[3]) and set(kept[3]) <= set(kept[2])
+    assert docs.count() == len(kept[3])

@@ -105,6 +105,24 @@ def test_url_filter_matches_brute_force(spark):
     assert url_filter.judge(pages.limit(0), model).count() == 0
 
 
+def test_url_scores_match_brute_force(spark):
+    from xxhash import xxh64_intdigest
+
+    weights, intercept = model = url_filter.train(url_filter.labelled_urls(spark))
+    urls = [None, "http://casino.example.org/de/poker?x", "HTTPS://Library.Example.COM/En/1#t", "a://ü/ß", "no", "http://x", "http://" + "ab" * 400 + ".org/" + "c" * 900]
+    for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), model).collect():
+        host, path = brute_parts(r.url)
+        found = set()
+        for kind, part in (("h", host), ("p", path)):
+            seed, marked = xxh64_intdigest(kind.encode(), 42), f"^{part}$"
+            for n in (3, 4):
+                for k in range(len(marked) - n + 1):
+                    h = xxh64_intdigest(marked[k : k + n].encode(), seed)
+                    found.add((h - (1 << 64) if h >> 63 else h) % url_filter.BUCKETS)
+        margin = intercept + sum(float(f"{weights[f]:.5g}") for f in found)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-9)
+
+
 def test_url_model_tells_words_apart(spark):
     model = url_filter.train(url_filter.labelled_urls(spark))
     rows = [("https://superpoker.example.org/de/1", "block"), ("http://m.casinos.example.org/en/9", "block"), ("http://plain.example.org/en/warez/4.html", "block"), ("https://citymuseum.example.org/de/1", "allow"), ("http://ththan.example.org/en/5155#top", "allow"), ("http://tionsh.example.net/en/12/", "allow")]
@@ -175,3 +193,24 @@ def test_hadamard_is_the_matrix():
         h = np.block([[h, h], [h, -h]])
     x = np.random.default_rng(3).normal(size=(5, 8))
     assert np.allclose(embedding_dedup.hadamard(x), x @ h)
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    a = np.zeros(16)
+    a[0] = 1.0
+    c = 0.93
+    b = np.zeros(16)
+    b[0], b[1] = c, np.sqrt(1 - c * c)
+    below = np.zeros(16)
+    below[0], below[1] = c - 1e-9, np.sqrt(1 - (c - 1e-9) ** 2)  # as floats it would reach the threshold
+    rows = [(1, a.tolist(), 1), (2, b.tolist(), 1), (3, below.tolist(), 2), (4, a.tolist(), 2)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[3] == got[4] == 0
+
+
+def test_components_of_hubs(spark):
+    from lakeloom.llm.components import components
+
+    edges = [(0, i) for i in range(1, 400)] + [(1000, i) for i in range(600, 900)] + [(899, 2000), (2000, 5000)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**dict.fromkeys(range(400), 0), **dict.fromkeys([*range(600, 900), 1000, 2000, 5000], 600)}

@@ -331,6 +331,97 @@ def test_toxicity_learns_words_and_leaves_the_fold_out(spark, none):
     assert toxicity.train(docs, known.limit(0)).score("x") == 0.0
 
 
+def brute_grams(text):
+    """The distinct hashed n-grams of three to six characters, in plain integers."""
+    chars, found = [ord(c) for c in f" {text.lower()} "], set()
+    for n in (3, 4, 5, 6):
+        for k in range(len(chars) - n + 1):
+            h = chars[k]
+            for c in chars[k + 1 : k + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (c * 0x85EBCA6B & 0xFFFFFFFF)
+            found.add((h * 0x9E3779B1 & 0xFFFFFFFF) >> 12)
+    return found
+
+
+def test_toxicity_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(16)
+    texts = {i: " ".join(rng.choice(["zorgle", "blatt"] if i % 3 == 0 and rng.random() < 0.2 else ["lena", "Tomi", "käse", "und"]) for _ in range(rng.randint(3, 40))) for i in range(120)}
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()] + [(None, "zorgle", None, None, None), (7, texts[7], "xx", None, 3)], SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 100)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    known = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = [sum(i % 3 != 0 for i in known), sum(i % 3 == 0 for i in known)]
+    counts = {}
+    for i in known:
+        for f in brute_grams(texts[i]):
+            counts.setdefault(f, [0, 0])[i % 3 == 0] += 1
+    ratio = {f: np.log(((b + 1) / (n[1] + 2)) / ((a + 1) / (n[0] + 2))) for f, (a, b) in counts.items() if a + b > 2}
+    assert set(np.flatnonzero(model.weights)) <= set(ratio) and len(ratio) < toxicity.FEATURES
+    # Over the scaled features the fitted weights are a minimum of the penalised loss.
+    feature = sorted(ratio)
+    place = {f: k for k, f in enumerate(feature)}
+    x, y = np.zeros((len(known), len(feature))), np.array([i % 3 == 0 for i in known], float)
+    for row, i in enumerate(known):
+        for f in brute_grams(texts[i]) & place.keys():
+            x[row, place[f]] = ratio[f]
+    r = np.array([ratio[f] for f in feature])
+    w = np.divide(model.weights[feature], r, out=np.zeros(len(r)), where=r != 0)
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * (w**2).sum()
+
+    b = model.intercept  # both classes are whole, so the intercept isn't moved
+    for _ in range(20):
+        assert loss(w, b) <= loss(w + np.random.default_rng(_).normal(0, 0.02, len(w)), b + rng.uniform(-0.05, 0.05)) + 1e-3
+    want = {i: 1 / (1 + np.exp(-(b + sum(float(model.weights[f]) for f in brute_grams(t))))) for i, t in texts.items()}
+    for part in (1 << 19, 16):  # and part by part
+        monkeypatch.setattr(toxicity, "PART", part)
+        for i, t in texts.items():
+            assert model.score(t) == pytest.approx(want[i], abs=1e-5)
+    for d in toxicity.score(docs, model).collect():
+        if d.doc_id is not None:
+            assert d.score == pytest.approx(want[d.doc_id], abs=1e-5) and d.predicted == int(d.score >= 0.3)
+
+
+def brute_word_grams(word):
+    """The hashed three- and four-letter n-grams of a word, its ends included."""
+    m, found = 0xFFFFFFFF, []
+    s = [0, *map(ord, word), 0]
+    for k in range(1, len(s) - 1):
+        pair = (s[k - 1] * 0x85EBCA6B & m) ^ (s[k] * 0xC2B2AE35 & m) ^ (s[k] >> 7)
+        h3 = ((pair ^ (s[k + 1] * 0x27D4EB2F & m)) * 0x9E3779B1) & m
+        found.append(h3 >> 16)
+        if k + 1 < len(s) - 1:
+            h4 = (((h3 ^ (s[k + 2] * 0x165667B1 & m)) * 0x9E3779B1) & m) ^ 0x5BD1E995
+            found.append(h4 >> 16)
+    return found
+
+
+@pytest.mark.parametrize("part", [1 << 20, 40])
+def test_language_counts_and_scores_match_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(language, "PART", part)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice([["Kato", "miru", "o"], ["schön", "Übel", "und"], ["да", "нет", "ко1да"]][k]) for _ in range(rng.randint(1, 30))), ["xx", "yy", "zz"][k], "a", 1) for i in range(60) for k in [i % 3]]
+    model = language.train(spark.createDataFrame([*rows, (99, "kato", None, "a", 1), (98, None, "xx", None, None)], SCHEMA).repartition(3))
+    assert model.languages == ["xx", "yy", "zz"]
+    counts = np.full((3, language.BUCKETS), 0.5)
+    for _, t, lang, *_ in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for g in brute_word_grams(w):
+                counts[model.languages.index(lang), g] += 1
+    want = np.log(counts / counts.sum(axis=1, keepdims=True))
+    np.testing.assert_allclose(model.log_p, want.T, rtol=1e-5)
+    for d in language.identify(spark.createDataFrame(rows, SCHEMA), model).collect():
+        letters = dict.fromkeys(model.languages, 0)
+        found = list(re.finditer(r"[^\W\d_]+", d.text))
+        for w in found:
+            inside = [s.lang for s in d.spans if s.start <= w.start() and w.end() <= s.end]
+            assert len(inside) == 1
+            letters[inside[0]] += len(w[0])
+        assert d.lang_pred == d.lang and d.score == pytest.approx(letters[d.lang_pred] / sum(letters.values()))
+
+
 def test_language_labels_spans(spark, none):
     rng = random.Random(7)
     kinds = {"xx": ("ka", "to", "mi", "ru"), "yy": ("sch", "ein", "ung", "ver"), "zz": ("да", "не", "ко", "ва")}
@@ -384,6 +475,70 @@ def test_masked_lm_matches_brute_force(docs):
         assert (r.mean_log_prob is None) == (not words)
 
 
+def test_masked_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "SHARD_WORDS", 800)
+    monkeypatch.setattr(masked_lm, "ROUND", 300)
+    docs = spark.createDataFrame([*make_rows(most=40), *[(1, "a b c", "en", "a", 1)] * 30], SCHEMA)
+    found = []
+    for k in (3, 7, 32):
+        dealt = docs.repartition(k)
+        model = masked_lm.train(dealt)
+        found.append(sorted((r.doc_id or -1, r.text or "", r.log_prob) for r in masked_lm.score(dealt, model, by_word=True).collect()))
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        np.testing.assert_allclose([r[2] for r in other], [r[2] for r in found[0]], rtol=1e-5, atol=1e-4)
+
+
+def test_masked_lm_words_of_long_texts_and_packing(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(word(rng) for _ in range(n)) + rng.choice(["", " ", "\n"]) for n in (0, 1, 3, 50, 400)] + ["x" * 500, None]
+    whole = masked_lm.buckets(pa.array(texts))
+    monkeypatch.setattr(masked_lm, "PART", 64)
+    pieces = masked_lm.buckets(pa.array(texts))
+    assert whole[1].tolist() == pieces[1].tolist() == [len((t or "").split()) for t in texts]
+    assert (whole[0] == pieces[0]).all()
+    assert (masked_lm.unpacked(masked_lm.packed(whole[0])) == whole[0]).all()
+
+
+def test_byte_parts_end_where_words_end():
+    rng = random.Random(12)
+    for _ in range(200):
+        text = "".join(rng.choice("aB é\t\n 字🙂") for _ in range(rng.randint(0, 60)))
+        for most in (1, 3, 10, 100):
+            got = [w for part in common.byte_parts(text, most) for w in re.findall(rb"[^\x20\x09-\x0D]+", part)]
+            assert got == re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+
+
+def test_long_texts_take_bounded_memory():
+    """A text of 40 MB: what each operator takes beside it, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from lakeloom.llm import language, masked_lm, simhash, toxicity
+text = "lorem ipsum dolor sit amet " * (40_000_000 // 27)
+model = language.Model(["a", "b"], np.zeros((language.BUCKETS, 2), np.float32), np.ones((language.N_SCRIPTS, 2), bool))
+language.tables()
+mlm = masked_lm.Model(np.zeros(1 << 20, np.int16), np.zeros(1 << 20, np.float32), np.zeros(masked_lm._SIZE, np.float32))
+runs = {
+    "simhash": lambda: simhash.fingerprint(text),
+    "toxicity": lambda: toxicity.features(text, np.zeros(1 << 20, bool)),
+    "language": lambda: [model.scores(language.words(p)[0]) for p, _, _ in language.parts([text])],
+    "masked_lm": lambda: masked_lm.buckets(pa.array([text])),
+}
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+runs[sys.argv[1]]()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    for name in ("simhash", "toxicity", "language", "masked_lm"):
+        done = subprocess.run([sys.executable, "-c", code, name], capture_output=True, text=True, timeout=300, check=True)
+        assert int(done.stdout) < 300, (name, done.stdout)
+
+
 def test_masked_lm_gradient_and_word_hashes():
     import pyarrow as pa
 
