@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 _WIDTH = "(extract(day FROM w) * 86400000000 + extract(hour FROM w) * 3600000000 + extract(minute FROM w) * 60000000 + CAST(extract(second FROM w) * 1000000 AS BIGINT))"
 _AT = "get_json_object(x, concat('$[''', k, ''']'))"
 _GROUPS = r"size(regexp_extract_all(p, '(?<!\\\\)\\((?!\\?)', 0))"
+_PATTERN = "concat(CASE WHEN contains(flags, 'i') THEN '(?i)' ELSE '' END, p)"
+_BY = r"regexp_replace(replace(r, '$', '\\$'), '\\\\(\\d)', '\\$$1')"
 _SQUARE = "aggregate({}, 0D, (t, v) -> t + v * v)"
 
 #: Arguments, type and body by name.
@@ -41,6 +43,7 @@ DEFINED: dict[str, tuple[str, str, str]] = {
     "json_get_bool": ("x STRING, k STRING", "BOOLEAN", f"try_cast({_AT} AS BOOLEAN)"),
     "json_contains": ("x STRING, k STRING", "BOOLEAN", "coalesce(array_contains(json_object_keys(x), k), false)"),
     "json_length": ("x STRING", "INT", "coalesce(json_array_length(x), size(json_object_keys(x)))"),
+    "pg_regexp_replace": ("x STRING, p STRING, r STRING, flags STRING DEFAULT ''", "STRING", f"CASE WHEN contains(flags, 'g') THEN regexp_replace(x, {_PATTERN}, {_BY}) WHEN regexp_instr(x, {_PATTERN}) = 0 THEN x ELSE concat(substr(x, 1, regexp_instr(x, {_PATTERN}) - 1), regexp_replace(regexp_extract(x, {_PATTERN}, 0), {_PATTERN}, {_BY}), substr(x, regexp_instr(x, {_PATTERN}) + length(regexp_extract(x, {_PATTERN}, 0)))) END"),
     "pg_log": ("a DOUBLE, b DOUBLE DEFAULT CAST(NULL AS DOUBLE)", "DOUBLE", "CASE WHEN b IS NULL THEN log10(a) ELSE ln(b) / ln(a) END"),
     "pg_trunc": ("x DOUBLE, digits INT DEFAULT 0", "DOUBLE", "signum(x) * floor(abs(x) * pow(10, digits)) / pow(10, digits)"),
     "pg_chr": ("code INT", "STRING", "decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32')"),
@@ -51,7 +54,7 @@ DEFINED: dict[str, tuple[str, str, str]] = {
 }
 
 #: How calls of names that Spark has with another meaning are written.
-RENAMED = {"log": "pg_log(", "trunc": "pg_trunc(", "chr": "pg_chr(", "left": "pg_left(", "right": "pg_right(", "substr": "pg_substr(", "initcap": "pg_initcap(", "concat": "concat_ws('', ", "from_unixtime": "timestamp_seconds("}
+RENAMED = {"log": "pg_log(", "trunc": "pg_trunc(", "chr": "pg_chr(", "left": "pg_left(", "right": "pg_right(", "substr": "pg_substr(", "initcap": "pg_initcap(", "regexp_replace": "pg_regexp_replace(", "concat": "concat_ws('', ", "from_unixtime": "timestamp_seconds("}
 _CALL = re.compile(rf"(?<![\w.])({'|'.join(RENAMED)})\(", re.I)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +32,44 @@ def apply_changes(existing: DataFrame, changes: DataFrame, key: list[str], seque
     return kept.unionByName(written)
 
 
-def decode_debezium(values: DataFrame, table: T.StructType, value: str = "value") -> DataFrame:
+#: Types of the envelope's own schema.
+_TYPES = {"int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(), "int64": T.LongType(), "float": T.FloatType(), "float32": T.FloatType(), "double": T.DoubleType(), "float64": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "bytes": T.StringType()}
+
+
+def _field_type(field: dict) -> T.DataType:
+    if field["type"] == "array":
+        return T.ArrayType(_field_type(field["items"]))
+    if field["type"] == "struct":
+        return T.StructType([T.StructField(f["field"], _field_type(f), f.get("optional", True)) for f in field["fields"]])
+    return _TYPES[field["type"]]
+
+
+def discover_debezium(messages: DataFrame, key: str = "key", value: str = "value") -> tuple[T.StructType, dict[str, tuple[str, int]], list[str]]:
+    """From one message that carries schemas: the table's fields as they are encoded, the logical types (name and scale) by column, and the primary key.
+
+    Only one message reaches the driver. Without a key in it, the primary key is empty.
+    """
+    one = messages.where(F.get_json_object(F.col(value).cast("string"), "$.schema.fields").isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v")).first()
+    if one is None:
+        raise ValueError("no message carries a schema")
+    envelope = {f["field"]: f for f in json.loads(one["v"])["schema"]["fields"]}
+    row = envelope.get("after") or envelope["before"]
+    kinds = {f["field"]: (f["name"], int(f.get("parameters", {}).get("scale", 0))) for f in row["fields"] if f.get("name")}
+    of_key = json.loads(one["k"]) if one["k"] else {}
+    names = [f["field"] for f in of_key.get("schema", {}).get("fields", [])] or list(of_key.get("payload", of_key))
+    return _field_type(row), kinds, names
+
+
+def decode_debezium(values: DataFrame, table: T.StructType, value: str = "value", kinds: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """Change rows from JSON envelopes: op, ts_ms and data (``before`` for deletes, else ``after``).
 
-    Envelopes with and without a ``payload`` level are understood.
+    Envelopes with and without a ``payload`` level are understood. Columns named in
+    ``kinds`` (logical type and scale) are turned into what they mean.
     """
+    if kinds:
+        raw = decode_debezium(values, table, value)
+        columns = [debezium_value(F.col(f"data.{f.name}"), *kinds[f.name]).alias(f.name) if f.name in kinds else F.col(f"data.{f.name}") for f in table.fields]
+        return raw.withColumn("data", F.when(F.col("data").isNotNull(), F.struct(*columns)))
     body = T.StructType([T.StructField("before", table), T.StructField("after", table), T.StructField("op", T.StringType()), T.StructField("ts_ms", T.LongType())])
     wrapped = F.from_json(F.col(value).cast("string"), T.StructType([T.StructField("payload", body), *body.fields]))
     parsed = values.withColumn("__v", wrapped)
@@ -50,15 +86,17 @@ def debezium_value(column, kind: str, scale: int = 0):
     if name in ("Timestamp", "MicroTimestamp"):
         return (F.timestamp_millis(column) if name == "Timestamp" else F.timestamp_micros(column)).cast("timestamp_ntz")
     if name in ("Time", "MicroTime"):
-        us = column * (1000 if name == "Time" else 1)
+        us = column.cast("long") * (1000 if name == "Time" else 1)
         return F.date_format(F.timestamp_micros(us), "HH:mm:ss.SSSSSS")
     if name in ("ZonedTimestamp", "ZonedTime"):
         return F.to_timestamp(column) if name == "ZonedTimestamp" else column
-    if name == "Decimal":
+    if name == "Decimal":  # big-endian two's complement of up to 124 bits
         digits = F.hex(F.unbase64(column))
-        bits = F.length(digits) * 4
-        raw = F.conv(digits, 16, 10).cast("decimal(38,0)")
-        negative = F.conv(F.substr(digits, F.lit(1), F.lit(1)), 16, 10).cast("int") >= 8
-        signed = F.when(negative, raw - F.pow(F.lit(2.0), bits).cast("decimal(38,0)")).otherwise(raw)
-        return (signed / F.lit(10**scale).cast("decimal(38,0)")).cast(f"decimal(38,{scale})")
+        negative = F.substr(digits, F.lit(1), F.lit(1)) >= "8"
+        size = F.when(negative, F.translate(digits, "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(digits)
+        whole = F.right(F.lpad(size, 32, "0"), F.lit(31))
+        high, low = (F.conv(x, 16, 10).cast("decimal(20,0)") for x in (F.substr(whole, F.lit(1), F.lit(16)), F.substr(whole, F.lit(17))))
+        value = (high * F.lit(Decimal(16**15)) + low).cast("decimal(38,0)")
+        signed = F.when(negative, -value - 1).otherwise(value)
+        return (signed * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")
     return column

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,8 @@ from lakeloom.functions.vectors import cosine_distance, vector
 Embedder = Callable[[pd.Series], list[list[float]]]
 DEFAULT_LIMIT = 3
 _BREAKS = ("\n\n", "\n", ". ", " ")
+#: Before headings and code first; what begins with a line's end is cut after it.
+_MARKDOWN_BREAKS = ("\n# ", "\n## ", "\n### ", "\n#### ", "\n```", *_BREAKS)
 
 
 def hash_embedder(dimensions: int = 64) -> Embedder:
@@ -35,30 +37,47 @@ def hash_embedder(dimensions: int = 64) -> Embedder:
     return embed
 
 
-def chunk_bounds(text: str, target: int, overlap: int = 0, trim: bool = True) -> list[tuple[int, int]]:
-    """Places of chunks of at most ``target`` characters, cut at the largest break that fits."""
+def token_sizer(vocabulary: str) -> Callable[[str], int]:
+    """Sizes in tokens of a tokenizer file (needs the tokenizers library); the file is opened by each task."""
+    opened: list = []
+
+    def size(text: str) -> int:
+        if not opened:
+            from tokenizers import Tokenizer
+
+            opened.append(Tokenizer.from_file(vocabulary))
+        return len(opened[0].encode(text, add_special_tokens=False).ids)
+
+    return size
+
+
+def chunk_bounds(text: str, target: int, overlap: int = 0, trim: bool = True, markdown: bool = False, size: Callable[[str], int] = len) -> list[tuple[int, int]]:
+    """Places of chunks of at most ``target`` (in characters, or as ``size`` measures), cut at the largest break that fits."""
     bounds, start = [], 0
     while start < len(text):
         end = min(len(text), start + target)
+        if size is not len:  # the longest piece that fits, if pieces only grow with their length
+            low, high = start + 1, len(text)
+            while low < high:
+                middle = (low + high + 1) // 2 if high < low + 16 * target else low + 8 * target
+                low, high = (middle, high) if size(text[start:middle]) <= target else (low, middle - 1)
+            end = low
         if end < len(text):
-            for mark in _BREAKS:
+            for mark in _MARKDOWN_BREAKS if markdown else _BREAKS:
                 at = text.rfind(mark, start + 1, end)
                 if at > start:
-                    end = at + len(mark)
+                    end = at + (1 if mark[1:2] in ("#", "`") else len(mark))
                     break
-        a, b = start, end
-        if trim:
-            while a < b and text[a].isspace():
-                a += 1
-            while b > a and text[b - 1].isspace():
-                b -= 1
+        piece = text[start:end]
+        a = start + len(piece) - len(piece.lstrip()) if trim else start
+        b = a + len(piece.strip()) if trim else end
         if b > a:
             bounds.append((a, b))
         start = max(end - overlap, start + 1) if end < len(text) else end
     return bounds
 
 
-def embed_column(df: DataFrame, column: str, embedder: Embedder, target_chunk: int | None = None, overlap: int = 0) -> DataFrame:
+def embed_column(df: DataFrame, column: str, embedder: Embedder, target_chunk: int | None = None, overlap: int = 0, markdown: bool = False, size: Callable[[str], int] = len) -> DataFrame:
     """Adds ``<column>_embedding``, and with chunks ``<column>_offset`` (start and end of each chunk, in characters).
 
     A column of that name in the base table is kept. Spark leaves the work out
@@ -71,7 +90,7 @@ def embed_column(df: DataFrame, column: str, embedder: Embedder, target_chunk: i
         one = F.pandas_udf(_plain(embedder), T.ArrayType(T.FloatType()))
         return df.withColumn(name, one(F.col(column)))
     kind = T.StructType([T.StructField("embedding", T.ArrayType(T.ArrayType(T.FloatType()))), T.StructField("offset", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    many = F.pandas_udf(_chunked(embedder, target_chunk, overlap), kind)
+    many = F.pandas_udf(_chunked(embedder, lambda t: chunk_bounds(t, target_chunk, overlap, markdown=markdown, size=size)), kind)
     return df.withColumn("__made", many(F.col(column))).withColumn(name, F.col("__made.embedding")).withColumn(f"{column}_offset", F.col("__made.offset")).drop("__made")
 
 
@@ -82,9 +101,9 @@ def _plain(embedder: Embedder):
     return run
 
 
-def _chunked(embedder: Embedder, target: int, overlap: int):
+def _chunked(embedder: Embedder, split: Callable[[str], list[tuple[int, int]]]):
     def run(texts: pd.Series) -> pd.DataFrame:
-        bounds = [chunk_bounds(t or "", target, overlap) for t in texts]
+        bounds = [split(t or "") for t in texts]
         pieces = [t[a:b] for t, all_ in zip(texts, bounds) for a, b in all_]
         vectors = iter(embedder(pd.Series(pieces, dtype=object)))
         return pd.DataFrame({"embedding": [[next(vectors) for _ in all_] for all_ in bounds], "offset": [[list(x) for x in all_] for all_ in bounds]})
@@ -109,9 +128,9 @@ def embedding_kind(schema: T.StructType, column: str) -> str | None:
 
 @dataclass
 class SearchRequest:
-    """What to search: a query vector, filter, further columns and the number of matches."""
+    """What to search: a query vector (or a text, for an embedder), filter, further columns and the number of matches."""
 
-    query: list[float]
+    query: list[float] | str
     limit: int = DEFAULT_LIMIT
     where: str | Column | None = None
     additional_columns: list[str] = field(default_factory=list)
@@ -143,6 +162,24 @@ def vector_search(df: DataFrame, column: str, key: list[str], request: SearchReq
     return best.select("value", (1 - F.col("dist")).alias("score"), F.lit(dataset).alias("dataset"), F.struct(*key).alias("primary_key"), metadata.alias("metadata"))
 
 
+def search_datasets(datasets: dict[str, tuple[DataFrame, str, list[str]]], request: SearchRequest, embedder: Embedder | None = None) -> DataFrame:
+    """The best matches over several datasets, named with their table, text column and key; keys and further columns are JSON.
+
+    A text to search for is embedded as the datasets' texts were. Each dataset gives its
+    own ``limit`` matches, so only few rows are compared in the end.
+    """
+    if isinstance(request.query, str):
+        request = replace(request, query=[float(x) for x in embedder(pd.Series([request.query]))[0]])
+    found = None
+    for name, (df, column, key) in datasets.items():
+        if embedding_kind(df.schema, column) is None:
+            df = embed_column(df, column, embedder)
+        own = replace(request, additional_columns=[c for c in request.additional_columns if c in df.columns])
+        best = vector_search(df, column, key, own, name).select("value", "score", "dataset", F.to_json("primary_key").alias("primary_key"), F.to_json("metadata").alias("metadata"))
+        found = best if found is None else found.unionByName(best)
+    return found.orderBy(F.col("score").desc(), "dataset", "primary_key").limit(request.limit)
+
+
 def predict(df: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, time_column: str = "ts") -> DataFrame:
     """Runs a model over batches of the rows, each task's in order of time."""
     return df.repartitionByRange(time_column).sortWithinPartitions(time_column).mapInPandas(model, schema)

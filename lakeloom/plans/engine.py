@@ -17,8 +17,9 @@ from lakeloom.functions import sql_names
 from lakeloom.operators import refresh as ops
 from lakeloom.operators.changes import apply_changes
 from lakeloom.operators.retry import Permanent, with_retry
-from lakeloom.sources.readers import listing, read_files
+from lakeloom.sources.readers import format_of, listing, read_files, read_jdbc
 from lakeloom.sources.scratch import new_dir
+from lakeloom.sources.services import fetch_http
 from lakeloom.sources.store import Store
 
 #: Statements that only read.
@@ -158,14 +159,24 @@ class Engine:
         self.specs: dict[str, DatasetSpec] = {}
         self.versions: dict[str, int] = {}
         self.views: dict[str, str] = {}
+        self.copies: dict[str, str] = {}
         self.history: deque[tuple] = deque(maxlen=EVENTS_KEPT)
         self.metrics: deque[tuple] = deque(maxlen=EVENTS_KEPT)
 
     # ---- datasets and views
 
     def source(self, spec: DatasetSpec) -> DataFrame:
+        """The dataset where it comes from: a DataFrame, files, a database table (``jdbc:`` with option ``dbtable``) or a file of a web server, copied once a registration or refresh."""
         if isinstance(spec.source, DataFrame):
             return spec.source
+        if spec.source.startswith("jdbc:"):
+            options = dict(spec.options)
+            return read_jdbc(self.spark, spec.source, options.pop("dbtable", spec.name), **options)
+        if re.match(r"https?://", spec.source):
+            if spec.source not in self.copies:
+                self.copies[spec.source] = new_dir(self.spark, "web")
+                fetch_http(self.spark, [spec.source], self.copies[spec.source])
+            return read_files(self.spark, self.copies[spec.source], format_of(spec.source, spec.file_format), spec.hive_partitions, **spec.options)
         return read_files(self.spark, spec.source, spec.file_format, spec.hive_partitions, **spec.options)
 
     def register(self, spec: DatasetSpec) -> None:
@@ -175,6 +186,12 @@ class Engine:
         if spec.acceleration and spec.acceleration.on_conflict:
             keys = [tuple(k) for k in (spec.acceleration.primary_key, *spec.acceleration.unique) if k]
             ops.check_conflicts(spec.acceleration.on_conflict, keys)
+        if isinstance(spec.source, str):
+            self.copies.pop(spec.source, None)
+        if spec.acceleration and spec.source is not None:
+            missing = {c for k in (spec.acceleration.primary_key, *spec.acceleration.unique) for c in k} - set(self.source(spec).columns)
+            if missing:
+                raise ValueError(f"{spec.name} has no columns {sorted(missing)} for its keys")
         self.specs[spec.name] = spec
         if spec.acceleration and spec.acceleration.mode in ("full", "append") and spec.source is not None and Store(self.spark, spec.acceleration.path).latest() is None:
             self.refresh(spec.name)
@@ -327,6 +344,8 @@ class Engine:
     def _refresh(self, name: str, mode: str | None, sql: str | None, now: datetime | None) -> int:
         spec = self.specs[name]
         acc, store = spec.acceleration, Store(self.spark, spec.acceleration.path)
+        if isinstance(spec.source, str):
+            self.copies.pop(spec.source, None)
         now, source = now or datetime.now(UTC), self.source(spec)
         statement = sql or acc.refresh_sql
         if statement:
@@ -376,7 +395,7 @@ class Engine:
         """Publishes runtime_task_history, runtime_metrics, runtime_datasets and information_schema_tables and _columns, without what is past its retention."""
         now = now or datetime.now(UTC)
         spans = [h for h in self.history if h[4] >= now - HISTORY_KEPT]
-        values = [m for m in self.metrics if m[1] >= now - METRICS_KEPT]
+        values = [m for m in self.metrics if m[1] >= now - METRICS_KEPT] + [("query_count", now, None, float(len(spans)))]
         create = self.spark.createDataFrame
         create(spans, "trace_id string, task string, input string, start_time timestamp, end_time timestamp, error_message string").createOrReplaceTempView("runtime_task_history")
         create(values, "name string, time timestamp, dataset string, value double").createOrReplaceTempView("runtime_metrics")
@@ -401,5 +420,9 @@ class Engine:
         found = self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, table_type string")
         return found if schema is None else found.where(F.col("table_schema") == schema)
 
+    def schema_prompt(self, names: list[str] | None = None) -> str:
+        """The tables as CREATE TABLE texts, for a prompt."""
+        return "\n\n".join(self.table_schema(n) for n in names or self.specs)
+
     def primary_keys(self) -> dict[str, list[str]]:
         return {n: s.acceleration.primary_key for n, s in self.specs.items() if s.acceleration and s.acceleration.primary_key}

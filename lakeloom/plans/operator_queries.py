@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,9 @@ from lakeloom.functions import scalar as S
 from lakeloom.functions.registry import call
 from lakeloom.functions.vectors import array_distance, cosine_distance, vector
 from lakeloom.operators import metrics, refresh, sampling, search
-from lakeloom.operators.changes import apply_changes, change_schema, debezium_value, decode_debezium
+from lakeloom.operators.changes import apply_changes, change_schema, debezium_value, decode_debezium, discover_debezium
 from lakeloom.plans.engine import Acceleration, DatasetSpec, Engine
-from lakeloom.sources.readers import listing, read_files, unnest
+from lakeloom.sources.readers import listing, read_files, single_fields, unnest
 from lakeloom.sources.scratch import new_dir
 from lakeloom.sources.store import Store
 from lakeloom.streaming import streams
@@ -268,6 +269,33 @@ def cdc_debezium(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(part, decode_debezium(updates.unionByName(deletes), part.schema), ["p_partkey"], "ts_ms")
 
 
+#: What a connector sends along with rows of this table; columns of every logical type.
+_ENVELOPE = """{"type": "struct", "fields": [{"field": "before", "type": "struct", "optional": true, "fields": []}, {"field": "after", "type": "struct", "optional": true, "fields": [
+    {"field": "o_orderkey", "type": "int64", "optional": false}, {"field": "day", "type": "int32", "name": "io.debezium.time.Date"}, {"field": "at_us", "type": "int64", "name": "io.debezium.time.MicroTimestamp"},
+    {"field": "at_ms", "type": "int64", "name": "io.debezium.time.Timestamp"}, {"field": "clock", "type": "int32", "name": "io.debezium.time.Time"}, {"field": "clock_us", "type": "int64", "name": "io.debezium.time.MicroTime"},
+    {"field": "zoned", "type": "string", "name": "io.debezium.time.ZonedTimestamp"}, {"field": "price", "type": "bytes", "name": "org.apache.kafka.connect.data.Decimal", "parameters": {"scale": "2"}}, {"field": "status", "type": "string"}]}]}"""
+
+
+@register("""
+    SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderdate AS at_us, o_orderdate AS at_ms, strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(o_orderkey % 86400), '%H:%M:%S') || '.000000' AS clock,
+           strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(o_orderkey % 86400), '%H:%M:%S') || '.000000' AS clock_us, o_orderdate AS zoned, CAST(CAST((CAST(round(o_totalprice * 100) AS BIGINT) - 20000000) AS DOUBLE) / 100 AS DOUBLE) AS price, o_orderstatus AS status FROM orders""")
+def cdc_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table and key found in the messages' own schemas, logical types decoded, changes applied to an empty table."""
+    orders = table(spark, sf_dir, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
+    cents = (F.round(F.col("o_totalprice") * 100) - 20_000_000).cast("long")
+    row = F.struct(
+        "o_orderkey", F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01")).alias("day"), F.unix_micros("ts").alias("at_us"), F.unix_millis("ts").alias("at_ms"), (F.col("o_orderkey") % 86400 * 1000).alias("clock"),
+        (F.col("o_orderkey") % 86400 * 1_000_000).alias("clock_us"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("zoned"), F.base64(F.unhex(F.lpad(F.hex(cents), 16, "0"))).alias("price"), F.col("o_orderstatus").alias("status"),
+    )
+    payload = F.to_json(F.struct(row.alias("after"), F.lit("c").alias("op"), F.lit(1).alias("ts_ms")))
+    messages = orders.select(F.to_json(F.struct(F.struct("o_orderkey").alias("payload"))).alias("key"), F.format_string('{"schema": %s, "payload": %s}', F.lit(_ENVELOPE), payload).alias("value"))
+    schema, kinds, key = discover_debezium(messages)
+    changes = decode_debezium(messages, schema, kinds=kinds)
+    empty = changes.select("data.*").limit(0)
+    found = apply_changes(empty, changes, key, "ts_ms")
+    return found.withColumns({"day": F.col("day").cast("string"), "zoned": F.col("zoned").cast("timestamp_ntz"), "price": F.col("price").cast("double")})
+
+
 @register("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderdate AS at FROM orders")
 def cdc_logical_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
@@ -329,6 +357,13 @@ def arrays_unnest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", (F.col("pos") + 1).alias("nth"), "word")
 
 
+@register("SELECT p_partkey, [p_brand, p_type] AS labels, len([p_brand, p_type]) AS n FROM part")
+def list_of_singles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of one-field objects as lists of values."""
+    nested = table(spark, sf_dir, "part").select("p_partkey", F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.col("p_type").alias("name"))).alias("labels"))
+    return single_fields(nested).withColumn("n", F.size("labels").cast("long"))
+
+
 @register("SELECT p_partkey, p_name, p_brand FROM part")
 def src_hive_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder with one folder a brand, its key read back as text."""
@@ -354,6 +389,20 @@ def src_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.groupBy("p_brand").agg(F.count("*").alias("rows_inside"), F.sum(F.length(F.col("p_partkey").cast("string")) + 1).alias("bytes")).join(files, "p_brand").select("p_brand", "rows_inside", "files", (F.col("least") == F.col("bytes")).alias("sized"))
 
 
+@register("SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY n_name UNION ALL SELECT 'all' AS n_name, count(*) AS customers, CAST(0 AS DOUBLE) AS balance FROM nation")
+def engine_federation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of an embedded database (it lives in a local session's own process) joined with, and added to, one of files."""
+    url = f"jdbc:derby:memory:lakeloom{uuid.uuid4().hex}"
+    nation = table(spark, sf_dir, "nation")
+    nation.write.format("jdbc").options(url=f"{url};create=true", dbtable="nation", createTableColumnTypes="n_name VARCHAR(100)").save()
+    engine = Engine(spark)
+    engine.register(DatasetSpec("engine_db_nation", url, options={"dbtable": "nation"}))
+    engine.register(DatasetSpec("engine_customer", f"{sf_dir}/customer.parquet", file_format="parquet"))
+    return engine.sql("""
+        SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM engine_db_nation JOIN engine_customer ON c_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY n_name
+        UNION ALL SELECT 'all' AS n_name, count(*) AS customers, CAST(0 AS DOUBLE) AS balance FROM engine_db_nation""")
+
+
 @register("SELECT n_regionkey, count(*) AS nations, sum(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS even FROM nation GROUP BY n_regionkey")
 def engine_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views given out of order over a registered dataset, queried through the read-only engine."""
@@ -366,7 +415,7 @@ def engine_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(r"""
     SELECT p_partkey, CAST(strpos(p_name, 'i') AS INT) AS at_i, starts_with(p_type, 'PROMO') AS promo, lower(to_hex(p_size)) AS hexed, sha256(p_name) AS s256, 56 AS l224, 96 AS l384, 128 AS l512, sha256(p_name) AS digested,
            round(log10(p_size), 8) AS log_ten, round(log2(p_size), 8) AS log_two, trunc(p_retailprice) AS cut_off, round(trunc(p_retailprice * 10) / 10, 4) AS cut_one, chr(8364) AS euro, left(p_name, -2) AS but_two, left(p_name, 3) AS first_three, right(p_name, 2) AS last_two,
-           substr(p_name, 1, 2) AS from_zero, p_brand || p_type AS joined, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS capital, regexp_extract(p_brand, '(\w+)#(\d+)', 2) AS second, regexp_extract(p_brand, '\d+') AS whole, 'log(x) -- ''left(' AS quoted FROM part""")
+           substr(p_name, 1, 2) AS from_zero, p_brand || p_type AS joined, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS capital, regexp_extract(p_brand, '(\w+)#(\d+)', 2) AS second, regexp_extract(p_brand, '\d+') AS whole, regexp_replace(p_brand, '(\w)\w*#', '\1-') AS first_only, regexp_replace(p_brand, '[A-Z]', '*', 'gi') AS all_of, p_name AS none_of, 'log(x) -- ''left(' AS quoted FROM part""")
 def engine_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions by their advertised names in the engine's SQL text."""
     engine = Engine(spark)
@@ -374,7 +423,8 @@ def engine_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql(r"""
         SELECT p_partkey, strpos(p_name, 'i') AS at_i, starts_with(p_type, 'PROMO') AS promo, to_hex(p_size) AS hexed, sha256(p_name) AS s256, length(sha224(p_name)) AS l224, length(sha384(p_name)) AS l384, length(sha512(p_name)) AS l512, lower(hex(digest(p_name, 'sha256'))) AS digested,
                round(log(p_size), 8) AS log_ten, round(log(2, p_size), 8) AS log_two, trunc(p_retailprice) AS cut_off, round(trunc(p_retailprice, 1), 4) AS cut_one, chr(8364) AS euro, left(p_name, -2) AS but_two, LEFT(p_name, 3) AS first_three, right(p_name, 2) AS last_two,
-               substr(p_name, 0, 3) AS from_zero, concat(p_brand, NULL, p_type) AS joined, initcap(p_type) AS capital, regexp_match(p_brand, '(\\w+)#(\\d+)')[1] AS second, regexp_match(p_brand, '\\d+')[0] AS whole, 'log(x) -- \'left(' AS quoted -- trunc(
+               substr(p_name, 0, 3) AS from_zero, concat(p_brand, NULL, p_type) AS joined, initcap(p_type) AS capital, regexp_match(p_brand, '(\\w+)#(\\d+)')[1] AS second, regexp_match(p_brand, '\\d+')[0] AS whole,
+               regexp_replace(p_brand, '(\\w)\\w*#', '\\1-') AS first_only, regexp_replace(p_brand, '[A-Z]', '*', 'gi') AS all_of, regexp_replace(p_name, 'x+y', '$') AS none_of, 'log(x) -- \'left(' AS quoted -- trunc(
         FROM engine_part""")
 
 

@@ -115,6 +115,20 @@ def unnest(df: DataFrame, depth: int) -> DataFrame:
     return df
 
 
+def single_fields(df: DataFrame) -> DataFrame:
+    """Columns that are lists of one-field objects as lists of that field's values."""
+    def value(name: str):
+        return lambda x: x[name]
+
+    columns = []
+    for f in df.schema.fields:
+        inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else None
+        column = F.col(f"`{f.name}`")
+        one = isinstance(inner, T.StructType) and len(inner.fields) == 1
+        columns.append(F.transform(column, value(inner.fields[0].name)).alias(f.name) if one else column)
+    return df.select(*columns)
+
+
 class PagedJson(DataSource):
     """A source of JSON pages, each naming the next: ``spark.read.format("paged_json")``.
 

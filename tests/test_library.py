@@ -76,6 +76,66 @@ def test_chunks_cover_the_text():
     assert search.chunk_bounds("", 10) == []
 
 
+def test_markdown_and_token_chunks():
+    text = "# One\nalpha beta gamma\n\n## Two\ndelta epsilon zeta eta\ntheta iota\n# Three\nkappa"
+    pieces = [text[a:b] for a, b in search.chunk_bounds(text, 40, markdown=True)]
+    assert pieces[0] == "# One\nalpha beta gamma" and pieces[-1].endswith("# Three\nkappa") and all(len(p) <= 40 for p in pieces)
+    words = lambda t: len(t.split())
+    long_ = " ".join(f"w{i}" for i in range(500))
+    chunks = search.chunk_bounds(long_, 7, size=words)
+    assert " ".join(long_[a:b] for a, b in chunks) == long_ and all(words(long_[a:b]) <= 7 for a, b in chunks) and len(chunks) <= 80
+
+
+def test_search_by_text_over_datasets(spark):
+    embedder = search.hash_embedder(64)
+    a = search.embed_column(spark.createDataFrame([(1, "red apple pie"), (2, "blue sky")], "id int, text string"), "text", embedder)
+    b = spark.createDataFrame([("k", "apple pie red", 5), ("l", "green tree", 6)], "key string, body string, n int")
+    found = search.search_datasets({"a": (a, "text", ["id"]), "b": (b, "body", ["key"])}, search.SearchRequest("red apple pie", limit=2, additional_columns=["n"]), embedder).collect()
+    assert [(r.dataset, r.primary_key) for r in found] == [("a", '{"id":1}'), ("b", '{"key":"k"}')] and found[1].metadata == '{"n":5}'
+    assert all(abs(r.score - 1) < 1e-6 for r in found)
+
+
+def test_best_chunks_match_brute_force(spark, sf):
+    from lakeloom.plans.operator_queries import QUERIES, QUERY
+
+    embedder, best = search.hash_embedder(64), []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        chunks = [r.text[a:b] for a, b in search.chunk_bounds(r.text or "", 400)]
+        scores = []
+        for text, v in zip(chunks, embedder(chunks)):
+            size = sum(x * x for x in v) ** 0.5 * sum(x * x for x in QUERY) ** 0.5
+            if size:
+                scores.append((1 - (1 - sum(x * y for x, y in zip(v, QUERY)) / size) / 2, text))
+        if scores:
+            best.append((max(s for s, _ in scores), r.doc_id))
+    want = sorted(best, key=lambda x: (-round(x[0], 9), x[1]))[:10]
+    got = [(r.score, r.doc_id) for r in QUERIES["vec_chunk_best"](spark, sf).collect()]
+    assert [i for _, i in sorted(got, key=lambda x: (-round(x[0], 9), x[1]))] == [i for _, i in want]
+    assert [s for s, _ in sorted(got, reverse=True)] == pytest.approx([s for s, _ in want])
+
+
+def test_files_of_a_web_server_are_a_dataset(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"a,b\n1,x\n2,y\n")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    engine = Engine(spark)
+    engine.register(DatasetSpec("from_web", f"http://127.0.0.1:{server.server_port}/data/t.csv"))
+    server.shutdown()
+    assert [tuple(r) for r in engine.sql("SELECT a, b FROM from_web ORDER BY a").collect()] == [(1, "x"), (2, "y")]
+    assert "CREATE TABLE from_web" in engine.schema_prompt()
+
+
 def test_search_plain_and_chunked(spark):
     embedder = search.hash_embedder(32)
     query = embedder(["blue whale"])[0]

@@ -34,11 +34,33 @@ def test_read_http(spark):
     assert got == {f"{base}/a": b"/a", f"{base}/b": b"/b"}
 
 
-def test_repository_schemas_parse():
+def test_repository_schemas_parse(spark):
     for ddl in services.REPOSITORY_TABLES.values():
         assert len(T._parse_datatype_string(ddl).fields) >= 8
 
 
+def test_repository_pages(spark):
+    got = services.read_repository(spark, "issues", "tests.test_services:pages").orderBy("number").collect()
+    assert [(r.number, r.labels, r.assignees) for r in got] == [(1, ["bug", "new"], []), (2, None, ["ann"])]
+    assert got[0].comments[0].author.login == "bo" and got[0].created_at.year == 2024
+
+
+def pages(cursor):
+    first = {"number": 1, "labels": [{"name": "bug"}, {"name": "new"}], "assignees": [], "comments": [{"author": {"login": "bo"}, "body": "x"}], "created_at": "2024-05-01T00:00:00Z"}
+    second = {"number": 2, "assignees": [{"login": "ann"}]}
+    return json.dumps({"data": {"rows": [first] if cursor is None else [second], "next": "more" if cursor is None else None}})
+
+
+def test_histograms_and_summaries(spark):
+    times = {"timeUnixNano": "1700000000123456000", "startTimeUnixNano": "1700000000000000000"}
+    metrics = [{"name": "h", "histogram": {"dataPoints": [times | {"count": "3", "sum": 6.5, "min": 0.5, "max": 4.0, "bucketCounts": ["1", "2"], "explicitBounds": [1.0]}]}}, {"name": "s", "summary": {"dataPoints": [times | {"count": "2", "sum": 3.0, "quantileValues": [{"quantile": 0.5, "value": 1.5}]}]}}]
+    payload = spark.createDataFrame([(json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": metrics}]}]}),)], "value string")
+    h, s = services.decode_histograms(payload).first(), services.decode_summaries(payload).first()
+    assert (h.name, h["count"], h["sum"], h.min, h.max, h.bucket_counts, h.explicit_bounds) == ("h", 3, 6.5, 0.5, 4.0, [1, 2], [1.0])
+    assert (s.name, s["count"], s["sum"], s.quantiles, s.time.microsecond) == ("s", 2, 3.0, {0.5: 1.5}, 123456)
+    assert services.decode_metrics(payload).count() == 0
+
+
 def test_filters_become_search_terms():
     filters = [("state", "=", "open"), ("title", "like", "%two words%"), ("author", "!=", "bot"), ("labels", "array_contains", "bug"), ("number", ">", 5), ("title", "like", "a%b")]
     terms, left = services.search_arguments(filters, {"state": "state", "title": "title", "author": "author", "labels": "label"})
