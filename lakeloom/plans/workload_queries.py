@@ -55,7 +55,7 @@ SQL: dict[str, str] = {
         WITH v1 AS (SELECT p_brand, {SHIP_MONTH} AS mo, round(sum(l_extendedprice), 2) AS total, avg(sum(l_extendedprice)) OVER (PARTITION BY p_brand) AS mean, rank() OVER (PARTITION BY p_brand ORDER BY {SHIP_MONTH}) AS rn
             FROM lineitem, part WHERE l_partkey = p_partkey GROUP BY p_brand, {SHIP_MONTH})
         SELECT v1.p_brand, v1.mo, v1.total, round(v1.mean, 1) AS mean, before.total AS psum, after.total AS nsum FROM v1, v1 before, v1 after
-        WHERE v1.p_brand = before.p_brand AND v1.p_brand = after.p_brand AND v1.rn = before.rn + 1 AND v1.rn = after.rn - 1 AND v1.mean > 0 AND abs(v1.total - v1.mean) / v1.mean > 0.01""",
+        WHERE v1.p_brand = before.p_brand AND v1.p_brand = after.p_brand AND v1.rn = before.rn + 1 AND v1.rn = after.rn - 1 AND v1.mean > 0 AND abs(v1.total - v1.mean) / nullif(v1.mean, 0) > 0.01""",
     "ds_return_ratio_ranks": """
         SELECT channel, item, ratio, CAST(r1 AS INT) AS r1, CAST(r2 AS INT) AS r2 FROM (
             SELECT 'brand' AS channel, item, ratio, rank() OVER (ORDER BY ratio, item) AS r1, rank() OVER (ORDER BY q DESC NULLS FIRST, item) AS r2
@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
         WITH y AS (SELECT y, k, sum(q) AS q, sum(amount) AS amount FROM (
             SELECT CAST(extract(year FROM l_shipdate) AS INT) AS y, l_partkey % 50 AS k, l_quantity AS q, l_extendedprice AS amount FROM lineitem WHERE l_returnflag <> 'R'
             UNION ALL SELECT CAST(extract(year FROM l_shipdate) AS INT) AS y, l_partkey % 50 AS k, -l_quantity AS q, -l_extendedprice AS amount FROM lineitem WHERE l_returnflag = 'R') s GROUP BY y, k)
-        SELECT prev.y AS prev_year, cur.y AS cur_year, cur.k, round(prev.q, 2) AS prev_q, round(cur.q, 2) AS cur_q, round(cur.amount - prev.amount, 2) AS diff FROM y cur, y prev WHERE cur.k = prev.k AND cur.y = prev.y + 1 AND cur.q / prev.q < 0.9""",
+        SELECT prev.y AS prev_year, cur.y AS cur_year, cur.k, round(prev.q, 2) AS prev_q, round(cur.q, 2) AS cur_q, round(cur.amount - prev.amount, 2) AS diff FROM y cur, y prev WHERE cur.k = prev.k AND cur.y = prev.y + 1 AND cur.q / nullif(prev.q, 0) < 0.9""",
     "ds_missing_values_union": """
         SELECT channel, col, y, count(*) AS n, round(sum(amount), 2) AS amount FROM (
             SELECT 'store' AS channel, 'value' AS col, CAST(extract(day FROM ts) AS INT) AS y, coalesce(value, 0) AS amount FROM events WHERE CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END IS NULL
@@ -102,7 +102,7 @@ SQL: dict[str, str] = {
         SELECT * FROM (SELECT count(*) AS h8 FROM events WHERE extract(hour FROM ts) = 8 AND extract(minute FROM ts) >= 30) a, (SELECT count(*) AS h9a FROM events WHERE extract(hour FROM ts) = 9 AND extract(minute FROM ts) < 30) b,
             (SELECT count(*) AS h9b FROM events WHERE extract(hour FROM ts) = 9 AND extract(minute FROM ts) >= 30) c, (SELECT count(*) AS h10 FROM events WHERE extract(hour FROM ts) = 10 AND extract(minute FROM ts) < 30) d""",
     "ds_morning_evening_ratio": """
-        SELECT round(CAST(am AS DOUBLE) / CAST(pm AS DOUBLE), 8) AS ratio FROM (SELECT count(*) AS am FROM events WHERE extract(hour FROM ts) BETWEEN 8 AND 9) a, (SELECT count(*) AS pm FROM events WHERE extract(hour FROM ts) BETWEEN 19 AND 20) p""",
+        SELECT round(CAST(am AS DOUBLE) / nullif(CAST(pm AS DOUBLE), 0), 8) AS ratio FROM (SELECT count(*) AS am FROM events WHERE extract(hour FROM ts) BETWEEN 8 AND 9) a, (SELECT count(*) AS pm FROM events WHERE extract(hour FROM ts) BETWEEN 19 AND 20) p""",
     "ds_actual_sales": """
         SELECT o_custkey, round(sum(act), 2) AS total FROM (SELECT o_custkey, CASE WHEN r.q IS NOT NULL THEN (l.l_quantity - r.q) * l.l_extendedprice ELSE l.l_quantity * l.l_extendedprice END AS act
             FROM lineitem l JOIN orders ON o_orderkey = l.l_orderkey LEFT OUTER JOIN (SELECT l_orderkey, l_linenumber, max(l_quantity) - 1 AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey, l_linenumber) r ON r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber) t
