@@ -48,6 +48,8 @@ FIRST_BATCH = 32
 DOUBLE = 128
 RATE = 0.003
 PIECE = 4096
+#: Parameters that a step changes at a time.
+BLOCK = 1 << 14
 #: Bytes of text whose words are hashed at a time.
 PART = 1 << 19
 #: Words that a copy of the network is trained on, and copies at most: beyond, they train on more.
@@ -61,6 +63,10 @@ ADDED = {"n_tokens": T.LongType(), "log_prob": T.DoubleType(), "mean_log_prob":
 _SHAPES = {"e": (UNITS + 1, WIDTH), "w": (2 * WINDOW * WIDTH, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, SIDE), "bc": (SIDE,), "wd": (SIDE, HIDDEN, SIDE), "bd": (SIDE, SIDE)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
+_AROUND = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
+#: Classes of at most so many rows in a batch are multiplied together.
+FEW = 16
+
 _lower = np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 32
 _space = np.zeros(256, bool)
@@ -128,16 +134,17 @@ def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
     return out.view("<i4").ravel()
 
 
-def contexts(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(places, 2 * WINDOW) ids on both sides of the places ``at``, UNITS beyond a document's ends."""
-    out = np.full((len(at), 2 * WINDOW), UNITS, np.int64)
-    own = doc[at]
-    for k, off in enumerate((*range(-WINDOW, 0), *range(1, WINDOW + 1))):
-        there = at + off
-        there[(there < 0) | (there >= len(ids))] = -1
-        same = (there >= 0) & (doc[there] == own)
-        out[same, k] = ids[there[same]]
-    return out
+def lines(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All documents' ids in a line, with WINDOW times UNITS before, between and after documents, and the place of each word in it."""
+    place = np.arange(len(ids)) + WINDOW * (1 + np.repeat(np.arange(len(counts)), counts))
+    line = np.full(len(ids) + WINDOW * (len(counts) + 1), UNITS, np.int16)
+    line[place] = ids
+    return line, place
+
+
+def contexts(line: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(places, 2 * WINDOW) ids on both sides of ``place``, UNITS beyond a document's ends."""
+    return line.take(place[:, None] + _AROUND).astype(np.int64)
 
 
 class Network:
@@ -164,57 +171,72 @@ class Network:
         return net
 
     def hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.e[ctx].reshape(len(ctx), -1)
-        return x, np.tanh(x @ self.w + self.b)
+        x = self.e.take(ctx.ravel(), axis=0).reshape(len(ctx), -1)
+        z = x @ self.w
+        z += self.b
+        np.exp(np.minimum(np.multiply(z, 2, out=z), 80, out=z), out=z)  # the hyperbolic tangent is 1 - 2 / (exp(2 z) + 1)
+        z += 1
+        return x, np.subtract(1, np.divide(2, z, out=z), out=z)
 
     @staticmethod
     def _log_softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each row's softmax, in the place of ``z`` and short of its division by the sums, and the logarithms of it at ``at``; then the sums."""
-        z -= z.max(axis=1, keepdims=True)
+        if max(z.max(initial=0), -z.min(initial=0)) > 80:  # else no exponential leaves the numbers' range
+            z -= z.max(axis=1, keepdims=True)
         found = z[np.arange(len(z)), at]
         np.exp(z, out=z)
         total = z @ np.ones(z.shape[1], z.dtype)
         return found - np.log(total), total
 
-    def _inner(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-        """The order by class, each class with its rows in that order, and in that order h and the logits in the class."""
+    def _inner(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """The order by class; the classes of many rows with their rows in that order; those of few, their rows padded to FEW, and which are none; and in that order h and the logits in the class."""
         order = np.argsort(of.astype(np.int16), kind="stable")
-        sorted_, ends = h[order], np.searchsorted(of[order], np.arange(SIDE + 1)).tolist()
-        spans = [(c, a, b) for c, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+        count = np.bincount(of, minlength=SIDE)
+        end = np.cumsum(count)
+        spans = [(c, end[c] - count[c], end[c]) for c in np.flatnonzero(count > FEW).tolist()]
+        few = np.flatnonzero((count > 0) & (count <= FEW))
+        real = np.arange(FEW) < count[few][:, None]
+        rows = np.where(real, (end - count)[few][:, None] + np.arange(FEW), 0)
+        sorted_ = h[order]
         z = np.empty((len(of), SIDE), np.result_type(h, self.wd))
         for c, a, b in spans:
             np.matmul(sorted_[a:b], self.wd[c], out=z[a:b])
             z[a:b] += self.bd[c]
-        return order, spans, sorted_, z
+        z[rows[real]] = (sorted_[rows] @ self.wd[few] + self.bd[few][:, None])[real]
+        return order, spans, (few, rows, real), sorted_, z
 
     def log_prob(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability given its context."""
         _, h = self.hidden(ctx)
         of, inner = ids // SIDE, ids % SIDE
         out = self._log_softmax(h @ self.wc + self.bc, of)[0].astype(np.float64)
-        order, _, _, z = self._inner(h, of)
+        order, *_, z = self._inner(h, of)
         out[order] += self._log_softmax(z, inner[order])[0]
         return out
 
-    def gradient(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """Of the mean negative log-probability, as a flat vector."""
-        g, n = Network(np.zeros(_SIZE, np.float32)), len(ids)
+    def gradient(self, ids: np.ndarray, ctx: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """Of the mean negative log-probability, as a flat vector (``out``, if given)."""
+        g, n = Network(np.zeros(_SIZE, np.float32) if out is None else out), len(ids)
+        g.wd[...], g.bd[...] = 0, 0
         x, h = self.hidden(ctx)
         of, inner = ids // SIDE, ids % SIDE
         rows = np.arange(n)
         p = h @ self.wc + self.bc
-        p /= self._log_softmax(p, of)[1][:, None]
-        p[rows, of] -= 1
+        p /= (self._log_softmax(p, of)[1] * n)[:, None]
+        p[rows, of] -= 1 / n
         g.wc[...], g.bc[...] = h.T @ p, p.sum(axis=0)
-        order, spans, sorted_, q = self._inner(h, of)
-        q /= self._log_softmax(q, inner[order])[1][:, None]
-        q[rows, inner[order]] -= 1
+        order, spans, (few, padded, real), sorted_, q = self._inner(h, of)
+        q /= (self._log_softmax(q, inner[order])[1] * n)[:, None]
+        q[rows, inner[order]] -= 1 / n
         dh = np.empty_like(h)
         for c, a, b in spans:
             np.matmul(sorted_[a:b].T, q[a:b], out=g.wd[c])
             np.matmul(q[a:b], self.wd[c].T, out=dh[a:b])
-        if spans:
-            g.bd[[c for c, _, _ in spans]] = np.add.reduceat(q, [a for _, a, _ in spans])
+            g.bd[c] = q[a:b].sum(axis=0)
+        together = q[padded]
+        together[~real] = 0
+        g.wd[few], g.bd[few] = sorted_[padded].transpose(0, 2, 1) @ together, together.sum(axis=1)
+        dh[padded[real]] = (together @ self.wd[few].transpose(0, 2, 1))[real]
         dh[order] = dh.copy()
         dh += p @ self.wc.T
         dz = dh * (1 - h * h)
@@ -223,27 +245,33 @@ class Network:
         flat = ctx.ravel()
         for k in range(WIDTH):
             g.e[:, k] = np.bincount(flat, dx[:, k], UNITS + 1)
-        g.flat /= n
         return g.flat
 
 
 class Adam:
-    """Adaptive steps on a network's parameters."""
+    """Adaptive steps on a network's parameters, block by block."""
 
     def __init__(self, net: Network, rate: float = RATE):
         self.net, self.rate, self.t = net, rate, 0
-        self.m, self.v, self.a, self.b = (np.zeros_like(net.flat) for _ in range(4))
+        self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)  # sums of gradients and of their squares that decay
+        self.kept = np.empty(BLOCK, np.float32)
 
     def step(self, g: np.ndarray) -> None:
         self.t += 1
-        a, b = self.a, self.b
-        self.m += np.multiply(np.subtract(g, self.m, out=a), 0.1, out=a)
-        np.multiply(g, g, out=a)
-        self.v += np.multiply(np.subtract(a, self.v, out=a), 0.001, out=a)
-        np.multiply(self.v, 1 / (1 - 0.999**self.t), out=b)
-        np.add(np.sqrt(b, out=b), 1e-8, out=b)
-        np.multiply(self.m, self.rate / (1 - 0.9**self.t), out=a)
-        self.net.flat -= np.divide(a, b, out=a)
+        even = np.sqrt(0.001 / (1 - 0.999**self.t))
+        rate, least = np.float32(self.rate * 0.1 / (1 - 0.9**self.t) / even), np.float32(1e-8 / even)
+        for k in range(0, len(g), BLOCK):
+            of = slice(k, k + BLOCK)
+            m, v, x = self.m[of], self.v[of], g[of]
+            kept = self.kept[: len(x)]
+            m *= np.float32(0.9)
+            m += x
+            v *= np.float32(0.999)
+            v += np.multiply(x, x, out=kept)
+            np.add(np.sqrt(v, out=kept), least, out=kept)
+            np.divide(m, kept, out=kept)
+            kept *= rate
+            self.net.flat[of] -= kept
 
 
 def deals(n: int, adam: Adam) -> Iterator[np.ndarray]:
@@ -265,10 +293,11 @@ class Model:
         """Number of words and summed log-probability of each text, of its units or of the words' buckets."""
         net, total = Network(self.flat), np.zeros(len(batch))
         found, counts = buckets(batch)
-        ids, doc = self.unit[found], np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        for k in range(0, len(ids), 8192):
-            at = np.arange(k, min(k + 8192, len(ids)))
-            each = net.log_prob(ids[at].astype(np.int64), contexts(ids, doc, at))
+        line, place = lines(self.unit[found], counts)
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        for k in range(0, len(place), 8192):
+            at = slice(k, k + 8192)
+            each = net.log_prob(line[place[at]].astype(np.int64), contexts(line, place[at]))
             if by_word:
                 each += self.share[found[at]]
             total += np.bincount(doc[at], each, len(batch))
@@ -355,13 +384,12 @@ def train(docs: DataFrame, text: str = "text", doc_id: str | None = "doc_id") ->
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, total, held, n, shard = Network(first.copy()), 0, [], 0, None
-        adam = Adam(net)
+        adam, g = Adam(net), np.zeros_like(first)
 
         def practise() -> None:
-            ids = unit[np.concatenate(held)]
-            doc = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
-            for at in deals(len(ids), adam):
-                adam.step(net.gradient(ids[at].astype(np.int64), contexts(ids, doc, at)))
+            line, place = lines(unit[np.concatenate(held)], np.array([len(x) for x in held]))
+            for at in deals(len(place), adam):
+                adam.step(net.gradient(line[place[at]].astype(np.int64), contexts(line, place[at]), g))
 
         for batch in batches:
             for of, x in zip(batch.column("shard").to_pylist(), batch.column("ids")):
