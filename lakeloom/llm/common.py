@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.sources.scratch import new_dir
+
 #: ASCII white space, as the contracts define words: everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch, where the session has Spark's default.
@@ -20,28 +21,6 @@ BATCH_ROWS = 1000
 NUMBERED = 1 << 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, without a trailing slash.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. Only a local
-    session, as tests start it, gets a temporary folder where that is unset.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
