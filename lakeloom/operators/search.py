@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,10 @@ from lakeloom.functions.vectors import cosine_distance, vector
 
 Embedder = Callable[[pd.Series], list[list[float]]]
 DEFAULT_LIMIT = 3
+#: Rows of an Arrow batch of texts to embed, where the session has Spark's default.
+BATCH_ROWS = 1000
+#: Texts or chunks that an embedder gets at a time.
+PIECES = 512
 _BREAKS = ("\n\n", "\n", ". ", " ")
 #: Before headings and code first; what begins with a line's end is cut after it.
 _MARKDOWN_BREAKS = ("\n# ", "\n## ", "\n### ", "\n#### ", "\n```", *_BREAKS)
@@ -81,32 +89,54 @@ def embed_column(df: DataFrame, column: str, embedder: Embedder, target_chunk: i
     """Adds ``<column>_embedding``, and with chunks ``<column>_offset`` (start and end of each chunk, in characters).
 
     A column of that name in the base table is kept. Spark leaves the work out
-    where neither column is used.
+    where neither column is used. The embedder gets ``PIECES`` texts at a time, and only
+    their vectors are Python numbers; those of a batch of ``BATCH_ROWS`` rows are kept in Arrow.
     """
     name = f"{column}_embedding"
     if name in df.columns:
         return df
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(rows) == "10000":
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
     if target_chunk is None:
-        one = F.pandas_udf(_plain(embedder), T.ArrayType(T.FloatType()))
+        one = F.arrow_udf(_plain(embedder), T.ArrayType(T.FloatType()))
         return df.withColumn(name, one(F.col(column)))
     kind = T.StructType([T.StructField("embedding", T.ArrayType(T.ArrayType(T.FloatType()))), T.StructField("offset", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    many = F.pandas_udf(_chunked(embedder, lambda t: chunk_bounds(t, target_chunk, overlap, markdown=markdown, size=size)), kind)
+    many = F.arrow_udf(_chunked(embedder, lambda t: chunk_bounds(t, target_chunk, overlap, markdown=markdown, size=size)), kind)
     return df.withColumn("__made", many(F.col(column))).withColumn(name, F.col("__made.embedding")).withColumn(f"{column}_offset", F.col("__made.offset")).drop("__made")
 
 
+def _vectors(embedder: Embedder, pieces: Iterator[str | None]) -> pa.Array:
+    kind, parts = pa.list_(pa.float32()), []
+    while some := list(islice(pieces, PIECES)):
+        parts.append(pa.array(list(embedder(pd.Series(some, dtype=object))), kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _plain(embedder: Embedder):
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder(texts), index=texts.index, dtype=object)
+    def run(texts: pa.Array) -> pa.Array:
+        return _vectors(embedder, (t.as_py() for t in texts))
 
     return run
 
 
 def _chunked(embedder: Embedder, split: Callable[[str], list[tuple[int, int]]]):
-    def run(texts: pd.Series) -> pd.DataFrame:
-        bounds = [split(t or "") for t in texts]
-        pieces = [t[a:b] for t, all_ in zip(texts, bounds) for a, b in all_]
-        vectors = iter(embedder(pd.Series(pieces, dtype=object)))
-        return pd.DataFrame({"embedding": [[next(vectors) for _ in all_] for all_ in bounds], "offset": [[list(x) for x in all_] for all_ in bounds]})
+    def run(texts: pa.Array) -> pa.Array:
+        counts, places = array("i", [0]), array("i")
+
+        def pieces() -> Iterator[str]:
+            for t in texts:
+                text = t.as_py() or ""
+                bounds = split(text)
+                counts.append(len(bounds))
+                for a, b in bounds:
+                    places.extend((a, b))
+                    yield text[a:b]
+
+        vectors = _vectors(embedder, pieces())
+        rows = pa.array(np.cumsum(counts, dtype=np.int32))
+        pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(places) + 1, 2, dtype=np.int32)), pa.array(np.array(places, np.int32)))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(rows, vectors), pa.ListArray.from_arrays(rows, pairs)], names=["embedding", "offset"])
 
     return run
 

@@ -95,6 +95,24 @@ def test_search_by_text_over_datasets(spark):
     assert all(abs(r.score - 1) < 1e-6 for r in found)
 
 
+def test_embedders_get_few_texts_at_a_time(spark):
+    """Each vector holds the number of texts that its call got: neither long texts nor many rows add to it."""
+
+    def embedder(texts):
+        return [[float(len(texts)), float(len(t or ""))] for t in texts]
+
+    long_ = "word " * 40_000
+    rows = [(1, long_), (2, None), (3, ""), (4, "one two"), *((k, "some words of a row") for k in range(5, 2000))]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    got = {r.id: r for r in search.embed_column(df, "text", embedder, target_chunk=40).collect()}
+    assert len(got) == len(rows) and max(v[0] for r in got.values() for v in r.text_embedding) <= 512
+    for i, text in rows:
+        bounds = search.chunk_bounds(text or "", 40)
+        assert [tuple(x) for x in got[i].text_offset] == bounds and [v[1] for v in got[i].text_embedding] == [b - a for a, b in bounds]
+    plain = {r.id: r.text_embedding for r in search.embed_column(df, "text", embedder).collect()}
+    assert len(plain) == len(rows) and max(v[0] for v in plain.values()) <= 512 and [plain[i][1] for i in (1, 2, 3, 4)] == [200_000, 0, 0, 7]
+
+
 def test_best_chunks_match_brute_force(spark, sf):
     from lakeloom.plans.operator_queries import QUERIES, QUERY
 
