@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,12 @@ MAGIC = b"LOOMIDS1"
 BLOCK_IDS = 1 << 16
 #: Ids that a task reads at least, where files are small.
 READ_IDS = 1 << 22
-#: Distinct pieces of text whose ids a Python worker remembers.
-CACHE = 300_000
+#: Distinct chunks of text whose ids a Python worker remembers between batches.
+CACHE = 600_000
+#: Bytes of text that are encoded together, so that each of their distinct chunks is looked up once.
+TOGETHER = 8 << 20
+#: Chunks whose ids are put together at a time.
+JOINED = 1 << 18
 
 
 def bits_for(largest: int) -> int:
@@ -149,20 +154,23 @@ _encoders: dict = {}
 #: Letters that no normalisation but lower-casing changes, one to one.
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
 #: Chunks of these characters alone split into pieces as the tokenizer splits them.
-_simple = re.compile(f"[\\x20-\\x26\\x28-\\x7eA-Z\u00c0-\u00d6\u00d8-\u00de{_LETTERS}\\t\\n\\r]*")
-_piece = re.compile(f"[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+_SIMPLE = f"^[\\x20-\\x26\\x28-\\x7eA-Z\u00c0-\u00d6\u00d8-\u00de{_LETTERS}\\t\\n\\r]*$"
+_PIECE = f"([{_LETTERS}]+|[0-9]|[^ 0-9{_LETTERS}]+)"
 
 
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
-    The vocabulary's words never span white space, a digit or the border between
-    letters and other characters, so a text's ids are those of its pieces, which
-    recur far more often than texts. Pieces seen for the first time are encoded
-    together; the last id of each is one of a word's end. Characters with any
-    normalisation beyond lower case, and apostrophes, leave the chunk between two
-    spaces or line feeds whole. A text that holds one of the tokenizer's added
-    tokens, in any case, goes to the library as it is.
+    A text is cut into chunks at spaces and line feeds; Arrow finds the distinct
+    chunks of a batch, and numpy puts their ids together. The vocabulary's words never
+    span white space, a digit or the border between letters and other characters, so a
+    chunk's ids are those of its pieces, which recur far more often than texts. Pieces
+    seen for the first time are encoded together; the last id of each is one of a word's
+    end. Characters with any normalisation beyond lower case, and apostrophes, leave
+    their chunk whole. A text that holds one of the tokenizer's added tokens, in any
+    case, goes to the library as it is.
+
+    Chunks and their ids are remembered; when they are too many, those that the most batches had stay.
     """
 
     def __init__(self, vocabulary: str):
@@ -171,7 +179,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.I)
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.uses = pa.array([""]), np.array([np.iinfo(np.int64).max // 2])  # the empty chunk stays at place 0
+        self.start, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -182,52 +191,108 @@ class Encoder:
             _encoders[vocabulary] = Encoder(vocabulary)
         return _encoders[vocabulary]
 
-    @staticmethod
-    def pieces(text: str) -> tuple[list[str], set[str]]:
-        """The pieces of a text in order, and those of them that are whole chunks."""
-        if _simple.fullmatch(text):
-            return _piece.findall(text.lower()), set()
-        found, whole = [], set()
-        for chunk in text.replace("\n", " ").split(" "):
-            if _simple.fullmatch(chunk):
-                found += _piece.findall(chunk.lower())
-            else:
-                found.append(" " + chunk)  # a space tells it from a piece
-                whole.add(" " + chunk)
-        return found, whole
-
-    def _learn(self, new: list[str]) -> None:
-        texts = [" ".join(new[k : k + 1000]) for k in range(0, len(new), 1000)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            part, ids = new[1000 * k : 1000 * k + 1000], np.array(e.ids, "<u4")
+    def _add(self, chunks: pa.Array, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Remembers new chunks with the number of their ids, and all those ids; returns the chunks' places."""
+        at = len(self.chunks) + np.arange(len(chunks))
+        self.chunks, self.uses = pa.concat_arrays([self.chunks, chunks]), np.concatenate([self.uses, np.ones(len(chunks), np.int64)])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        return at
+
+    def _forget(self) -> None:
+        """Keeps half of what may be remembered: the most used."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 2])
+        ids, _ = self._joined(kept, np.zeros(0, np.int64))
+        self.chunks, self.uses, self.size, self.ids = self.chunks.take(pa.array(kept)), self.uses[kept], self.size[kept], ids
+        self.start = np.cumsum(self.size) - self.size
+
+    def _joined(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks at these places in a line, and how many there are before each of ``ends``."""
+        before, parts = np.zeros(len(at) + 1, np.int64), []
+        np.cumsum(self.size[at], out=before[1:])
+        for k in range(0, len(at), JOINED):
+            each, stops = at[k : k + JOINED], before[k : k + JOINED + 1]
+            parts.append(self.ids[np.repeat(self.start[each] - stops[:-1], np.diff(stops)) + np.arange(stops[0], stops[-1])])
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), before[ends]
+
+    def _found(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The places of these distinct chunks, -1 for unknown ones, and which are unknown."""
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        self.uses[at[~new]] += 1
+        return at, new
+
+    def _words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each piece, and all their ids."""
+        sizes, all_ = [], []
+        for k, e in enumerate(self.tokenizer.encode_batch_fast([" ".join(new[k : k + 1000]) for k in range(0, len(new), 1000)], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
+            if len(stops) != len(new[1000 * k : 1000 * k + 1000]):
                 raise ValueError("this vocabulary doesn't mark the ends of words")
-            data, start = ids.tobytes(), 0
-            for p, stop in zip(part, stops.tolist()):
-                self.known[p] = data[4 * start : 4 * stop]
-                start = stop
+            sizes.append(np.diff(stops, prepend=0))
+            all_.append(ids)
+        return np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.uint32), *all_])
+
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        """The places of distinct chunks that are not known yet."""
+        out = np.zeros(len(chunks), np.int64)
+        simple = pc.match_substring_regex(chunks, _SIMPLE)
+        mine = chunks.filter(simple)
+        spaced = pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(mine), "[\\t\\r]", " "), _PIECE, "\\1 ")
+        pieces = pc.split_pattern(spaced, " ")
+        each = pieces.flatten().dictionary_encode()
+        at, new = self._found(each.dictionary)
+        unknown = each.dictionary.filter(pa.array(new))
+        at[new] = self._add(unknown, *self._words(unknown.to_pylist()))
+        at, bounds = at[each.indices.to_numpy()], pieces.offsets.to_numpy()
+        own = pc.equal(pc.binary_join_element_wise(mine, "", " "), spaced).to_numpy(zero_copy_only=False)  # pieces themselves
+        ids, before = self._joined(at, bounds)
+        size, places = np.diff(before), at[bounds[:-1]]
+        places[~own] = self._add(mine.filter(pa.array(~own)), size[~own], ids[np.repeat(~own, size)])
+        simple = simple.to_numpy(zero_copy_only=False)
+        out[simple] = places
+        if not simple.all():
+            whole = chunks.filter(pa.array(~simple))
+            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(whole.to_pylist(), add_special_tokens=False)]
+            out[~simple] = self._add(whole, np.array([len(x) for x in ids], np.int64), np.concatenate(ids))
+        return out
 
     def encode(self, batch: list[str], end_id: int) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
-        marked = {k for k, t in enumerate(batch) if self.special.search(t)}
-        split = [([], set()) if k in marked else self.pieces(t) for k, t in enumerate(batch)]
-        if len(self.known) > CACHE:  # what this batch has stays: frequent pieces come again
-            used = set().union(*[found for found, _ in split])
-            self.known = {p: self.known[p] for p in used & self.known.keys()}
-        whole = set().union(*[w for _, w in split]) - self.known.keys()
-        new = set().union(*[p for p, _ in split]) - self.known.keys() - whole
-        self._learn(list(new))
-        order = list(whole)
-        for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        end, get = struct.pack("<I", end_id), self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, found)) + end, "<u4") for found, _ in split]
+        if len(self.chunks) > CACHE:
+            self._forget()
+        marked = [k for k, t in enumerate(batch) if self.special.search(t)]
+        plain = list(batch)
+        for k in marked:
+            plain[k] = ""
+        split = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.string()), "\n", " "), " ")
+        distinct = split.flatten().dictionary_encode()
+        at, new = self._found(distinct.dictionary)
+        if new.any():
+            at[new] = self._learn(distinct.dictionary.filter(pa.array(new)))
+        ids, before = self._joined(at[distinct.indices.to_numpy()], split.offsets.to_numpy()[1:])
+        out = np.split(np.insert(ids, before, end_id), before[:-1] + np.arange(1, len(before)))
         for k in marked:
-            out[k] = np.array([*self.tokenizer.encode(batch[k], add_special_tokens=False).ids, end_id], "<u4")
+            out[k] = np.array([*self.tokenizer.encode(batch[k], add_special_tokens=False).ids, end_id], np.uint32)
         return out
 
 
+def together(batches: Iterator[pa.RecordBatch], column: str, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in batches of about ``most`` bytes in ``column``, one row at least."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in slices(batch, column, most):
+            n = pc.sum(pc.binary_length(piece.column(column))).as_py() or 0
+            if held and size + n > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(piece)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes ``docs`` and writes them to ``path`` in ascending ``doc_id`` order.
 
@@ -240,15 +305,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, d
         fs, root = filesystem(path)
         width = bits_for(encoder.tokenizer.get_vocab_size() - 1)
         temporary = f"{root}/{TEMPORARY}{uuid.uuid4().hex}"
-        for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
-                if writer is None:
-                    fs.create_dir(root)
-                    sink = fs.open_output_stream(temporary)
-                    writer = Writer(sink, width)
-                for i, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(texts(piece.column("text")), end_id)):
-                    writer.add(i, ids)
-                    n += 1
+        for batch in together(batches, "text"):
+            if writer is None:
+                fs.create_dir(root)
+                sink = fs.open_output_stream(temporary)
+                writer = Writer(sink, width)
+            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts(batch.column("text")), end_id)):
+                writer.add(i, ids)
+                n += 1
         if writer is not None:
             writer.close()
             sink.close()

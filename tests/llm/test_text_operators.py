@@ -288,6 +288,46 @@ def test_encoder_matches_the_library():
     assert [x.tolist() for x in token_store.Encoder(vocabulary()).encode(texts, 2)] == encodings(texts)
 
 
+def test_frequent_chunks_are_encoded_once(monkeypatch):
+    """What many batches had is still known when rare chunks have filled the memory; blocks and forgetting change no id."""
+    from lakeloom.llm.queries import vocabulary
+
+    monkeypatch.setattr(token_store, "CACHE", 60)
+    monkeypatch.setattr(token_store, "JOINED", 7, raising=False)
+    encoder, given = token_store.Encoder(vocabulary()), []
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(w for t in texts for w in t.split())
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    letter = "abcdefghijklmnopqrstuvwxyz"
+    often = "the of and House, don't\n\tof\r the. " + "ñandú Über 12"
+    rare = [" ".join(f"{a}{b}{n}x" for b in letter) for n, a in zip(("q", "zz", "vv", "kk"), letter)]
+    for batch in ([often], [often, ""], [rare[0], "", rare[1]], [rare[2]], [rare[3], often], [often]):
+        given.clear()
+        assert [x.tolist() for x in encoder.encode(batch, 2)] == encodings(batch)
+    assert not given
+    encoder.encode([rare[1], rare[2]], 2)
+    encoder.encode([rare[0]], 2)
+    given.clear()
+    encoder.encode([often], 2)
+    assert not given and len(encoder.chunks) < 200
+
+
+def test_batches_are_put_together():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"text": t, "k": [str(x) for x in t]}, schema=pa.schema([("text", pa.string()), ("k", pa.string())])) for t in (["a" * 30, None], [], ["b"] * 5, ["c" * 200, "d"], ["e" * 60])]
+    got = list(token_store.together(iter(batches), "text", 64))
+    assert [x for b in got for x in b.column("text").to_pylist()] == [x for b in batches for x in b.column("text").to_pylist()]
+    assert [b.num_rows for b in got] == [7, 1, 2] and not list(token_store.together(iter([]), "text"))
+
+
 def test_token_table_matches_the_library(docs, none):
     from lakeloom.llm.queries import vocabulary
 
