@@ -49,7 +49,7 @@ DOUBLE = 128
 RATE = 0.003
 PIECE = 4096
 #: Parameters that a step changes at a time.
-BLOCK = 1 << 14
+BLOCK = 1 << 15
 #: Bytes of text whose words are hashed at a time.
 PART = 1 << 19
 #: Words that a copy of the network is trained on, and copies at most: beyond, they train on more.
@@ -60,12 +60,16 @@ ROUND = 1 << 18
 SMOOTH = 0.5
 ADDED = {"n_tokens": T.LongType(), "log_prob": T.DoubleType(), "mean_log_prob": T.DoubleType()}
 
-_SHAPES = {"e": (UNITS + 1, WIDTH), "w": (2 * WINDOW * WIDTH, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, SIDE), "bc": (SIDE,), "wd": (SIDE, HIDDEN, SIDE), "bd": (SIDE, SIDE)}
-_SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+#: ``d`` holds each class's matrix (``wd``) and, as its last row, its biases (``bd``).
+_SHAPES = {"e": (UNITS + 1, WIDTH), "w": (2 * WINDOW * WIDTH, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, SIDE), "bc": (SIDE,), "d": (SIDE, HIDDEN + 1, SIDE)}
+_ENDS = np.cumsum([int(np.prod(s)) for s in _SHAPES.values()]).tolist()
+_SIZE = _ENDS[-1]
 
 _AROUND = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
-#: Classes of at most so many rows in a batch are multiplied together.
-FEW = 16
+#: The last classes, of at most so many rows each in a batch, are multiplied together.
+FEW = 8
+#: Places of each embedding's numbers in their table.
+_CELLS = np.arange((UNITS + 1) * WIDTH).reshape(-1, WIDTH)
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 32
@@ -151,11 +155,10 @@ class Network:
     """The window network over a flat vector of parameters."""
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
-        for name, shape in _SHAPES.items():
-            n = int(np.prod(shape))
-            setattr(self, name, flat[at : at + n].reshape(shape))
-            at += n
+        self.flat = flat
+        for (name, shape), at, to in zip(_SHAPES.items(), [0, *_ENDS], _ENDS):
+            setattr(self, name, flat[at:to].reshape(shape))
+        self.wd, self.bd = self.d[:, :HIDDEN], self.d[:, HIDDEN]
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 1) -> Network:
@@ -174,77 +177,88 @@ class Network:
         x = self.e.take(ctx.ravel(), axis=0).reshape(len(ctx), -1)
         z = x @ self.w
         z += self.b
-        np.exp(np.minimum(np.multiply(z, 2, out=z), 80, out=z), out=z)  # the hyperbolic tangent is 1 - 2 / (exp(2 z) + 1)
-        z += 1
-        return x, np.subtract(1, np.divide(2, z, out=z), out=z)
+        return x, np.tanh(z, out=z)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's softmax, in the place of ``z`` and short of its division by the sums, and the logarithms of it at ``at``; then the sums."""
+    def _exp(z: np.ndarray) -> np.ndarray:
+        """Each row's softmax, in the place of ``z`` and short of its division by the sums; returns the sums."""
+        np.exp(z, out=z)
+        return z @ np.ones(z.shape[1], z.dtype)
+
+    @staticmethod
+    def _bounded(z: np.ndarray) -> np.ndarray:
         if max(z.max(initial=0), -z.min(initial=0)) > 80:  # else no exponential leaves the numbers' range
             z -= z.max(axis=1, keepdims=True)
-        found = z[np.arange(len(z)), at]
-        np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], z.dtype)
-        return found - np.log(total), total
-
-    def _inner(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-        """The order by class; the classes of many rows with their rows in that order; those of few, their rows padded to FEW, and which are none; and in that order h and the logits in the class."""
-        order = np.argsort(of.astype(np.int16), kind="stable")
-        count = np.bincount(of, minlength=SIDE)
-        end = np.cumsum(count)
-        spans = [(c, end[c] - count[c], end[c]) for c in np.flatnonzero(count > FEW).tolist()]
-        few = np.flatnonzero((count > 0) & (count <= FEW))
-        real = np.arange(FEW) < count[few][:, None]
-        rows = np.where(real, (end - count)[few][:, None] + np.arange(FEW), 0)
-        sorted_ = h[order]
-        z = np.empty((len(of), SIDE), np.result_type(h, self.wd))
+        return z
+
+    def _inner(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], int, int, int, np.ndarray, np.ndarray]:
+        """Rows by class, those of each of the last classes (the rarest) filled up to as many with zeros.
+
+        Returns the place of each row there; the other classes with their places; the first of the last
+        classes, their rows each, and where their blocks begin; and by place h, with 1 for the bias, and the logits in the class.
+        """
+        order, count = np.argsort(of.astype(np.int8), kind="stable"), np.bincount(of, minlength=SIDE)
+        last = int(max(np.flatnonzero(count > FEW), default=-1)) + 1
+        ends = np.cumsum(count)
+        base = int(ends[last - 1]) if last else 0
+        spans = list(zip(range(last), [0, *ends[:last].tolist()], ends[:last].tolist()))
+        few = int(count[last:].max(initial=0))
+        place = np.empty(len(of), np.int64)
+        place[order] = np.arange(len(of))
+        shift = np.zeros(SIDE, np.int64)
+        shift[last:] = base + few * np.arange(SIDE - last) - (ends - count)[last:]
+        place += shift[of]
+        rows = np.zeros((base + few * (SIDE - last), HIDDEN + 1), h.dtype)
+        rows[:, :HIDDEN][place] = h
+        rows[place, HIDDEN] = 1
+        z = np.empty((len(rows), SIDE), np.result_type(h, self.d))
         for c, a, b in spans:
-            np.matmul(sorted_[a:b], self.wd[c], out=z[a:b])
-            z[a:b] += self.bd[c]
-        z[rows[real]] = (sorted_[rows] @ self.wd[few] + self.bd[few][:, None])[real]
-        return order, spans, (few, rows, real), sorted_, z
+            np.matmul(rows[a:b], self.d[c], out=z[a:b])
+        np.matmul(rows[base:].reshape(SIDE - last, few, HIDDEN + 1), self.d[last:], out=z[base:].reshape(SIDE - last, few, SIDE))
+        return place, spans, last, few, base, rows, z
 
     def log_prob(self, ids: np.ndarray, ctx: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability given its context."""
         _, h = self.hidden(ctx)
         of, inner = ids // SIDE, ids % SIDE
-        out = self._log_softmax(h @ self.wc + self.bc, of)[0].astype(np.float64)
-        order, *_, z = self._inner(h, of)
-        out[order] += self._log_softmax(z, inner[order])[0]
+        z = self._bounded(h @ self.wc + self.bc)
+        out = z[np.arange(len(z)), of].astype(np.float64)
+        out -= np.log(self._exp(z))
+        place, *_, z = self._inner(h, of)
+        out += self._bounded(z)[place, inner]
+        out -= np.log(self._exp(z))[place]
         return out
 
     def gradient(self, ids: np.ndarray, ctx: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
         """Of the mean negative log-probability, as a flat vector (``out``, if given)."""
         g, n = Network(np.zeros(_SIZE, np.float32) if out is None else out), len(ids)
-        g.wd[...], g.bd[...] = 0, 0
         x, h = self.hidden(ctx)
         of, inner = ids // SIDE, ids % SIDE
-        rows = np.arange(n)
-        p = h @ self.wc + self.bc
-        p /= (self._log_softmax(p, of)[1] * n)[:, None]
-        p[rows, of] -= 1 / n
-        g.wc[...], g.bc[...] = h.T @ p, p.sum(axis=0)
-        order, spans, (few, padded, real), sorted_, q = self._inner(h, of)
-        q /= (self._log_softmax(q, inner[order])[1] * n)[:, None]
-        q[rows, inner[order]] -= 1 / n
-        dh = np.empty_like(h)
+        p = h @ self.wc
+        p += self.bc
+        ones = np.ones(n, p.dtype)
+        p *= (1 / (self._exp(self._bounded(p)) * n))[:, None]
+        p[np.arange(n), of] -= 1 / n
+        np.matmul(h.T, p, out=g.wc)
+        np.matmul(ones, p, out=g.bc)
+        place, spans, last, few, base, rows, q = self._inner(h, of)
+        q *= (1 / (self._exp(self._bounded(q)) * n))[:, None]
+        q[place, inner] -= 1 / n
+        by_place = np.empty((len(rows), HIDDEN), h.dtype)
         for c, a, b in spans:
-            np.matmul(sorted_[a:b].T, q[a:b], out=g.wd[c])
-            np.matmul(q[a:b], self.wd[c].T, out=dh[a:b])
-            g.bd[c] = q[a:b].sum(axis=0)
-        together = q[padded]
-        together[~real] = 0
-        g.wd[few], g.bd[few] = sorted_[padded].transpose(0, 2, 1) @ together, together.sum(axis=1)
-        dh[padded[real]] = (together @ self.wd[few].transpose(0, 2, 1))[real]
-        dh[order] = dh.copy()
+            np.matmul(rows[a:b].T, q[a:b], out=g.d[c])
+            np.matmul(q[a:b], self.wd[c].T, out=by_place[a:b])
+        together = q[base:].reshape(SIDE - last, few, SIDE)  # filled-up rows are 0 in ``rows``
+        np.matmul(rows[base:].reshape(SIDE - last, few, HIDDEN + 1).transpose(0, 2, 1), together, out=g.d[last:])
+        np.matmul(together, self.wd[last:].transpose(0, 2, 1), out=by_place[base:].reshape(SIDE - last, few, HIDDEN))
+        dh = by_place[place]
         dh += p @ self.wc.T
-        dz = dh * (1 - h * h)
-        g.w[...], g.b[...] = x.T @ dz, dz.sum(axis=0)
-        dx = (dz @ self.w.T).reshape(-1, WIDTH)
-        flat = ctx.ravel()
-        for k in range(WIDTH):
-            g.e[:, k] = np.bincount(flat, dx[:, k], UNITS + 1)
+        dh *= 1 - h * h
+        np.matmul(x.T, dh, out=g.w)
+        np.matmul(ones, dh, out=g.b)
+        dx = dh @ self.w.T
+        g.e[...] = 0
+        np.add.at(g.e.reshape(-1), _CELLS.take(ctx.ravel(), axis=0).ravel(), dx.ravel())
         return g.flat
 
 

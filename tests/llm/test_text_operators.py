@@ -579,6 +579,34 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
         assert int(done.stdout) < 300, (name, done.stdout)
 
 
+def test_gradient_for_any_mix_of_classes():
+    """Classes of many, few and no rows, in each order, give the gradient of plain formulas, whatever ``out`` held before."""
+    rng = np.random.default_rng(3)
+    net = masked_lm.Network(rng.normal(0, 0.3, masked_lm._SIZE).astype(np.float32))
+    out = np.full(masked_lm._SIZE, 7, np.float32)
+    every = np.arange(64)
+    for classes in (np.zeros(50), np.full(50, 63), np.array([5]), np.repeat(every, 20), np.repeat(every[::-1], 2), np.r_[np.zeros(30), 3, 3, np.full(9, 40), 62], np.r_[1, np.full(40, 2)]):
+        of = classes.astype(np.int64)
+        ids = of * 64 + rng.integers(0, 64, len(of))
+        ctx = rng.integers(0, masked_lm.UNITS + 1, (len(of), 4))
+        g, e = masked_lm.Network(net.gradient(ids, ctx, out)), {k: getattr(net, k).astype(float) for k in ("e", "w", "b", "wc", "bc", "wd", "bd")}
+        x = e["e"][ctx].reshape(len(of), -1)
+        h, rows = np.tanh(x @ e["w"] + e["b"]), np.arange(len(of))
+        p, q = h @ e["wc"] + e["bc"], np.einsum("nh,nhs->ns", h, e["wd"][of]) + e["bd"][of]
+        p, q = (np.exp(z) / np.exp(z).sum(axis=1, keepdims=True) for z in (p, q))
+        np.testing.assert_allclose(net.log_prob(ids, ctx), np.log(p[rows, of] * q[rows, ids % 64]), rtol=1e-4, atol=1e-5)
+        p[rows, of] -= 1
+        q[rows, ids % 64] -= 1
+        p, q = p / len(of), q / len(of)
+        wd, bd, ge = np.zeros((64, 32, 64)), np.zeros((64, 64)), np.zeros((masked_lm.UNITS + 1, 12))
+        np.add.at(wd, of, h[:, :, None] * q[:, None])
+        np.add.at(bd, of, q)
+        dz = (p @ e["wc"].T + np.einsum("ns,nhs->nh", q, e["wd"][of])) * (1 - h * h)
+        np.add.at(ge, ctx.ravel(), (dz @ e["w"].T).reshape(-1, 12))
+        for name, want in (("wd", wd), ("bd", bd), ("wc", h.T @ p), ("bc", p.sum(axis=0)), ("w", x.T @ dz), ("b", dz.sum(axis=0)), ("e", ge)):
+            np.testing.assert_allclose(getattr(g, name), want, rtol=1e-3, atol=1e-6)
+
+
 def test_masked_lm_gradient_and_word_hashes():
     import pyarrow as pa
 
